@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scan import running
+from ..functions.scan import running, with_next
 from ..sources import sequences
 from .links import link_frames, link_symbols
 
@@ -53,9 +53,13 @@ class Index:
         """The states that stand for items (all but state 0)."""
         return self.states.where("state > 0")
 
-    def running(self, df: DataFrame, order: str, **sums) -> DataFrame:
-        """Running sums per automaton, in blocks when a sequence is long."""
-        return running(df, self.keys, order, self.longest, **sums)
+    def running(self, df: DataFrame, order: str = "state", sums=None, maxes=None) -> DataFrame:
+        """Running aggregates per automaton, in blocks when a sequence is long."""
+        return running(df, self.keys, order, self.longest, sums, maxes)
+
+    def with_next(self, df: DataFrame, **cols) -> DataFrame:
+        """Columns of the following state beside each state."""
+        return with_next(df, self.keys, "state", self.longest, **cols)
 
     def require_bounded(self, what: str) -> None:
         """Refuse to put a long sequence into one task."""

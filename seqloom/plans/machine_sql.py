@@ -104,3 +104,21 @@ def embedding_frames(thresholds) -> str:
 
 COSINE = "list_cosine_distance($a, $b)"
 EUCLIDEAN = "list_distance($a, $b)"
+
+WORDS = """wp AS (
+  SELECT seq_id, thr, NULL::BIGINT AS j, 0::BIGINT AS e FROM fin
+  UNION ALL
+  SELECT w.seq_id, w.thr, w.e, greatest(w.e + 1, coalesce(list_min(list_filter(
+      range(w.e + 1, len(f.lrs)), lambda q: q - f.lrs[q + 1] > w.e)), len(f.lrs)) - 1)
+  FROM wp w JOIN fin f ON w.seq_id = f.seq_id AND w.thr = f.thr WHERE w.e < len(f.lrs) - 1
+),
+wd AS (
+  SELECT w.seq_id, w.thr, j, e, CASE WHEN f.lrs[e + 1] = 0 THEN 0 ELSE e - j END AS len,
+    CASE WHEN f.lrs[e + 1] = 0 THEN e ELSE f.sfx[e + 1] - (e - j) + 1 END AS pos,
+    f.sfx[e + 1] AS sfx, f.lrs[e + 1] AS lrs
+  FROM wp w JOIN fin f ON w.seq_id = f.seq_id AND w.thr = f.thr WHERE j IS NOT NULL
+),
+fr AS (
+  SELECT st.*, wd.j AS word, wd.e AS word_end FROM st JOIN wd
+  ON st.seq_id = wd.seq_id AND st.thr = wd.thr AND st.state > wd.j AND st.state <= wd.e
+)"""
