@@ -86,7 +86,8 @@ def build_index(
 ) -> Index:
     """Index sequences of symbols (``symbolic``) or frames (``variable``).
 
-    ``threshold`` is a number, or a list of numbers to build one automaton for each.
+    ``threshold`` is a number, a list of numbers to build one automaton for each, or a
+    frame ``seq_id, threshold`` with a number per sequence.
     ``method`` is ``inc`` (first suffix with a match) or ``complete`` (whole chain).
     ``longest`` skips the length check when the caller knows a bound.
     """
@@ -113,6 +114,9 @@ def _packed(seqs, keys, kind, threshold, metric, method) -> DataFrame:
     packed = sequences.pack(seqs)
     if kind == "symbolic":
         linked = symbol_links("items")
+    elif isinstance(threshold, DataFrame):
+        packed = packed.join(threshold.select("seq_id", "threshold"), "seq_id")
+        linked = frame_links(metric, method)("items", "threshold")
     elif "threshold" in keys:
         grid = F.explode(F.array(*[F.lit(float(t)) for t in threshold]))
         packed = packed.select("seq_id", grid.alias("threshold"), "items")

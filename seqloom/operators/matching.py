@@ -41,7 +41,7 @@ def models(index: Index, seqs: DataFrame) -> DataFrame:
 
 def _walks(model: DataFrame, obs: DataFrame, pairs: DataFrame, keys, starts: DataFrame | None, **how):
     """Steps ``start, t, state, cost`` of every pair; ``cost`` accumulates."""
-    joined = pairs.join(model, "seq_id").join(obs.withColumnRenamed("items", "o_items"), keys)
+    joined = pairs.join(obs.withColumnRenamed("items", "o_items"), "obs_id").join(model, "seq_id")
     if starts is None:
         joined = joined.withColumn("starts", F.lit(None).cast("array<int>"))
     else:

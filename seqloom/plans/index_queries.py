@@ -227,7 +227,8 @@ pre AS (
   SELECT a.seq_id, a.state AS i, a.sfx::BIGINT AS s, a.lrs AS l, a.sfx > 0 AND a.lrs > 1 AS good,
     coalesce(list(b.state::BIGINT ORDER BY b.state) FILTER (b.state IS NOT NULL), []) AS kids,
     least(a.lrs, coalesce(min(b.lrs), a.lrs)) AS kl
-  FROM st a LEFT JOIN st b ON b.seq_id = a.seq_id AND b.sfx = a.state WHERE a.state > 0 GROUP BY ALL
+  FROM st a LEFT JOIN st b ON b.seq_id = a.seq_id AND b.sfx = a.state WHERE a.state > 0
+  GROUP BY a.seq_id, a.state, a.sfx, a.lrs
 ),
 pt AS (
   SELECT seq_id, n AS i, -1 AS prev, []::STRUCT(id BIGINT, ends BIGINT[], len BIGINT)[] AS ps

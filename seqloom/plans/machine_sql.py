@@ -66,7 +66,7 @@ m AS (
               lambda t: {{'d': ({near})::DOUBLE, 't': t::INTEGER}})) END AS hit
           FROM m JOIN sq ON m.seq_id = sq.seq_id AND m.thr = sq.thr WHERE i <= n))))
 ),
-fin AS (SELECT m.* FROM m JOIN sq ON m.seq_id = sq.seq_id AND m.thr = sq.thr WHERE m.i = sq.n + 1),
+fin AS (SELECT m.* REPLACE (trn[1:n] || [[]::INTEGER[]] AS trn) FROM m JOIN sq ON m.seq_id = sq.seq_id AND m.thr = sq.thr WHERE m.i = sq.n + 1),
 st AS (
   SELECT seq_id, thr, u.s::INTEGER AS state, nullif(sfx[u.s + 1], -1) AS sfx, lrs[u.s + 1] AS lrs,
          nullif(lab[u.s + 1], -1) AS label
