@@ -60,31 +60,11 @@ def _grow(label, hit, link, exhaustive):
     n = len(label) - 1
     sfx, lrs = [-1] + [0] * n, [0] * (n + 1)
     word, word_end = [0] * (n + 1), [0] * (n + 1)
-    twin: dict = {}  # (suffix target, length, symbol before the repeat) -> earliest state
+    twin: dict = {}
     fresh, start = 0, 0
     for i in range(1, n + 1):
-        link(i - 1, i)
-        k, below, best = sfx[i - 1], i - 1, None
-        while k >= 0:
-            found = hit(k, i)
-            if found is None:
-                link(k, i)
-                below = k
-            else:
-                if best is None or found[0] < best[0]:
-                    best = found
-                if not exhaustive:
-                    break
-            k = sfx[k]
-        if best is None:
-            label[i], fresh = fresh, fresh + 1
-        else:
-            s = best[1]
-            label[i] = label[s]
-            size = 1 + _shared(sfx, lrs, below, s - 1)
-            s2 = twin.get((s, size, label[i - size]))
-            sfx[i], lrs[i] = (s, size) if s2 is None else (s2, size + 1)
-            twin.setdefault((sfx[i], lrs[i], label[i - lrs[i]]), i)
+        if add_state(i, fresh, label, sfx, lrs, twin, hit, link, exhaustive):
+            fresh += 1
         if lrs[i] < i - start:  # the running word cannot take state i
             start = i - 1
         word[i] = start
@@ -95,6 +75,41 @@ def _grow(label, hit, link, exhaustive):
     return {"sfx": sfx, "lrs": lrs, "label": label, "word": word, "word_end": word_end}
 
 
+def add_state(i, fresh, label, sfx, lrs, twin, hit, link, exhaustive=False) -> bool:
+    """Link state ``i`` and say whether it opens a new cluster (numbered ``fresh``).
+
+    ``hit(k, i)`` is the nearest forward target of ``k`` that matches item ``i``, as
+    (distance, state), and ``link(k, i)`` adds a forward link.  ``twin`` maps (suffix
+    target, length, label before the repeat) to the earliest such state.  The containers
+    may be lists or any mappings.
+    """
+    link(i - 1, i)
+    k, below, best = sfx[i - 1], i - 1, None
+    while k >= 0:
+        found = hit(k, i)
+        if found is None:
+            link(k, i)
+            below = k
+        else:
+            if best is None or found[0] < best[0]:
+                best = found
+            if not exhaustive:
+                break
+        k = sfx[k]
+    if best is None:
+        sfx[i], lrs[i], label[i] = 0, 0, fresh
+        return True
+    s = best[1]
+    label[i] = label[s]
+    size = 1 + _shared(sfx, lrs, below, s - 1)
+    s2 = twin.get((s, size, label[i - size]))
+    sfx[i], lrs[i] = (s, size) if s2 is None else (s2, size + 1)
+    seen = (sfx[i], lrs[i], label[i - lrs[i]])
+    if twin.get(seen) is None:
+        twin[seen] = i
+    return False
+
+
 def _shared(sfx, lrs, a, b):
     """Length of the repeated suffix that states ``a`` and ``b`` have in common."""
     if b == sfx[a]:

@@ -47,6 +47,6 @@ def register(name: str, run, ctes: str = "", body: str | None = None, ints=(), r
 
 
 def load() -> dict[str, Query]:
-    from . import index_queries, matching_queries, vector_queries  # noqa: F401
+    from . import index_queries, matching_queries, stream_queries, vector_queries  # noqa: F401
 
     return QUERIES

@@ -222,7 +222,7 @@ register(
 
 # -- patterns and fragments ------------------------------------------------------------
 
-PATTERNS = f"""{FO},
+PATTERN_SCAN = """
 pre AS (
   SELECT a.seq_id, a.state AS i, a.sfx::BIGINT AS s, a.lrs AS l, a.sfx > 0 AND a.lrs > 1 AS good,
     coalesce(list(b.state::BIGINT ORDER BY b.state) FILTER (b.state IS NOT NULL), []) AS kids,
@@ -237,10 +237,10 @@ pt AS (
   SELECT seq_id, i - 1, CASE WHEN good THEN s ELSE -1 END,
     CASE WHEN NOT good THEN ps
       WHEN home IS NOT NULL THEN list_transform(range(1, len(ps) + 1), lambda p:
-        CASE WHEN p = home THEN {{'id': ps[p].id, 'ends': list_append(ps[p].ends, i), 'len': least(ps[p].len, l)}}
+        CASE WHEN p = home THEN {'id': ps[p].id, 'ends': list_append(ps[p].ends, i), 'len': least(ps[p].len, l)}
              ELSE ps[p] END)
       WHEN prev - s <> 1 AND (len(kids) = 0 OR size > 1)
-        THEN list_append(ps, {{'id': i, 'ends': kids || [i, s], 'len': size}})
+        THEN list_append(ps, {'id': i, 'ends': kids || [i, s], 'len': size})
       ELSE ps END
   FROM (
     SELECT pt.*, s, l, good, kids, CASE WHEN pt.i - kl + 1 < s THEN pt.i - s ELSE kl END AS size,
@@ -250,6 +250,7 @@ pt AS (
 ),
 pf AS (SELECT seq_id, p.id AS pattern, p.ends AS ends, p.len AS len
        FROM (SELECT seq_id, unnest(ps) AS p FROM pt WHERE i = 2))"""
+PATTERNS = f"{FO}, {PATTERN_SCAN}"
 register(
     "repeated_patterns",
     on_index(lambda ix: motifs.find_repeated_patterns(ix).select("*", F.posexplode("ends").alias("ord", "end"))),

@@ -8,9 +8,13 @@ from ..operators import hmm, matching, motifs
 from ..operators.automaton import build_index
 from ..sources import sequences
 from .catalog import register
+from .index_queries import PATTERN_SCAN
 from .machine_sql import COSINE, automaton_ctes, embedding_frames
 from .vector_queries import COSINE_THRESHOLD, EMBEDDING, chroma, embedding_index
 
+REVERSED = automaton_ctes(
+    embedding_frames([COSINE_THRESHOLD]).replace("ORDER BY vec_id)", "ORDER BY vec_id DESC)"), COSINE
+)
 LABELS = 10  # the embeddings carry the labels 0..9
 
 
@@ -49,6 +53,14 @@ def walk_sql(policy="forward_self", starts="cluster", ahead="[1]", expand=True,
         "heads": """SELECT ob.obs_id, ob.seq_id, ob.chunk, st.label AS k, 1 AS t, st.state,
             list_distance(sq.x[st.state], ob.q[1]) ** 2 AS cost
             FROM ob JOIN sq USING (seq_id) JOIN st ON st.seq_id = ob.seq_id AND st.sfx = 0""",
+        "reversed": f"""SELECT ob.obs_id, ob.seq_id, ob.chunk, r.k, 1 AS t, r.head AS state,
+            list_distance(sq.x[r.head], ob.q[1]) ** 2 AS cost
+            FROM ob JOIN sq USING (seq_id) JOIN (
+              SELECT rv.seq_id, row_number() OVER (PARTITION BY rv.seq_id ORDER BY rv.state) - 1 AS k, h.state AS head
+              FROM (WITH RECURSIVE {REVERSED} SELECT seq_id, state FROM st WHERE sfx = 0) rv
+              JOIN sq ON sq.seq_id = rv.seq_id
+              JOIN st a ON a.seq_id = rv.seq_id AND a.state = sq.n + 1 - rv.state
+              JOIN st h ON h.seq_id = rv.seq_id AND h.label = a.label AND h.sfx = 0) r ON r.seq_id = ob.seq_id""",
         "one": """SELECT ob.obs_id, ob.seq_id, ob.chunk, 0 AS k, 1 AS t, 1 AS state,
             list_distance(sq.x[1], ob.q[1]) ** 2 AS cost FROM ob JOIN sq USING (seq_id)""",
     }[starts]
@@ -117,6 +129,7 @@ for _name, _policy, _decay in (("track", "forward_self", 1.0), ("track_suffix_de
 register(
     "track_reverse_start",
     _matched(lambda ix, fr, ob, pairs: matching.track(ix, fr, ob, pairs, reverse_init=True)),
+    f"{EMBEDDING}, {walk_sql(starts='reversed')}", CHEAPEST,
     ints=["obs_id", "seq_id", "t", "state"], reals=["cost"],
 )
 register(
@@ -165,10 +178,7 @@ def _reverse(spark, sf_dir):
 
 
 register(
-    "reverse_states", _reverse,
-    automaton_ctes(
-        embedding_frames([COSINE_THRESHOLD]).replace("ORDER BY vec_id)", "ORDER BY vec_id DESC)"), COSINE
-    ),
+    "reverse_states", _reverse, REVERSED,
     "SELECT * FROM st", ints=["seq_id", "state", "sfx", "lrs", "label"],
 )
 
@@ -180,7 +190,17 @@ def _pattern_automata(spark, sf_dir):
     return built.select("seq_id", "pattern", "state", F.explode("trn").alias("dst"))
 
 
-register("pattern_automata", _pattern_automata, ints=["seq_id", "pattern", "state", "dst"])
+register(
+    "pattern_automata", _pattern_automata,
+    f"""{EMBEDDING}, {PATTERN_SCAN},
+    pc AS (SELECT *, unnest(range(0, len(ends))) AS occ, unnest(ends) AS e FROM pf),
+    px AS (SELECT pc.seq_id || '/' || pattern || '/' || occ AS seq_id, thr, len AS n, x[e - len + 1:e] AS x
+           FROM pc JOIN sq USING (seq_id)),
+    pe AS (WITH RECURSIVE {automaton_ctes("sq AS (SELECT * FROM px)", COSINE)} SELECT seq_id, src, dst FROM ed)""",
+    """SELECT DISTINCT split_part(seq_id, '/', 1) AS seq_id, split_part(seq_id, '/', 2) AS pattern,
+         src AS state, dst FROM pe""",
+    ints=["seq_id", "pattern", "state", "dst"],
+)
 
 # -- hidden-Markov recognition ---------------------------------------------------------
 
@@ -194,8 +214,8 @@ CHROMA = automaton_ctes(
 )
 
 
-def chroma_frames(spark, sf_dir):
-    frames = sequences.embedding_frames(spark, sf_dir)
+def chroma_frames(spark, sf_dir, table=None):
+    frames = sequences.embedding_frames(spark, sf_dir, table)
     return frames.withColumn("item", chroma(F.col("item")))
 
 

@@ -117,9 +117,9 @@ def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value")
 
 
-def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding vectors per label, in id order."""
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def embedding_frames(spark: SparkSession, sf_dir: str, table: DataFrame | None = None) -> DataFrame:
+    """Embedding vectors per label, in id order; ``table`` may be a stream of them."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet") if table is None else table
     return frames(table, F.col("label").cast("long"), ["vec_id"], "embedding")
 
 
