@@ -47,6 +47,12 @@ def register(name: str, run, ctes: str = "", body: str | None = None, ints=(), r
 
 
 def load() -> dict[str, Query]:
-    from . import index_queries, matching_queries, stream_queries, vector_queries  # noqa: F401
+    from . import (  # noqa: F401
+        index_queries,
+        matching_queries,
+        segment_queries,
+        stream_queries,
+        vector_queries,
+    )
 
     return QUERIES
