@@ -120,7 +120,7 @@ def _packed(seqs, keys, kind, threshold, metric, method) -> DataFrame:
     elif "threshold" in keys:
         grid = F.explode(F.array(*[F.lit(float(t)) for t in threshold]))
         packed = packed.select("seq_id", grid.alias("threshold"), "items")
-        packed = packed.repartition("seq_id", "threshold")
+        packed = sequences.together(packed, "seq_id", "threshold")
         linked = frame_links(metric, method)("items", "threshold")
     else:
         linked = frame_links(metric, method)("items", F.lit(float(threshold)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import uniform
+from ..sources.sequences import spread
 from .automaton import Index
 
 
@@ -153,7 +154,7 @@ def _walks(index: Index, seeds: DataFrame, move: str, options: dict) -> DataFram
     packed = index.states.groupBy(*index.keys).agg(
         F.sort_array(F.collect_list(F.struct("state", "label", "lrs", "sfx", "trn"))).alias("m")
     )
-    return packed.join(seeds, list(index.keys)).select(
+    return spread(packed.join(seeds, list(index.keys)), *index.keys, "seed").select(
         *index.keys, "seed", walk("m.label", "m.lrs", "m.sfx", "m.trn", "seed").alias("w")
     )
 

@@ -74,10 +74,8 @@ def recognition(index: Index, seqs: DataFrame, obs: DataFrame, order: int = 1, s
     """
     models = _models(index, seqs, order, smooth)
     scores = _viterbi(F.col("items"), "n_labels", "med", "cells")
-    return (
-        sequences.pack(bounded(obs, "recognition")).join(models, "seq_id")
-        .select("seq_id", F.inline(scores))
-    )
+    joined = sequences.pack(bounded(obs, "recognition")).join(models, "seq_id")
+    return sequences.spread(joined, "seq_id").select("seq_id", F.inline(scores))
 
 
 def _models(index: Index, seqs: DataFrame, order: int, smooth: bool) -> DataFrame:

@@ -46,6 +46,7 @@ def _walks(model: DataFrame, obs: DataFrame, pairs: DataFrame, keys, starts: Dat
         joined = joined.withColumn("starts", F.lit(None).cast("array<int>"))
     else:
         joined = joined.join(starts, "seq_id")
+    joined = sequences.spread(joined, "seq_id", *keys)
     udf = F.arrow_udf(partial_walk(**how), STEPS)
     cols = ("m_items", "m_label", "m_sfx", "m_trn", "o_items", "starts")
     return joined.select(*keys, "seq_id", F.inline(udf(*cols)))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sequences import together
 from .automaton import Index
 
 PATTERNS = T.ArrayType(
@@ -33,7 +34,7 @@ def find_repeated_patterns(index: Index, lower: int = 1) -> DataFrame:
     st = index.with_next(index.frames.drop("trn"), next_sfx="sfx", next_lrs="lrs")
     after = F.expr(f"IF(next_sfx > 0 AND next_lrs > {lower}, next_sfx, -1)")
     packed = (
-        st.groupBy(*keys, "label")
+        together(st, *keys, "label").groupBy(*keys, "label")
         .agg(F.sort_array(F.collect_list(F.struct("state", "sfx", "lrs", after.alias("after")))).alias("s"))
         .where(F.expr(f"exists(s, x -> x.sfx > 0 AND x.lrs > {lower})"))
     )
@@ -129,7 +130,7 @@ def find_fragments(index: Index) -> DataFrame:
     """
     index.require_bounded("fragment search")
     keys = list(index.keys)
-    packed = index.frames.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("state", "lrs"))).alias("s"))
+    packed = together(index.frames, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("state", "lrs"))).alias("s"))
     chain = packed.select(*keys, _fragment_chain("s.lrs").alias("c")).select(
         *keys, F.size("c").alias("n"), F.posexplode("c").alias("frag", "c")
     )

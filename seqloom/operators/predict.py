@@ -124,7 +124,7 @@ def _asked(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("ctx_id", "context")).alias("asked")
     )
     models = sequences.pack(bounded(seqs, "prediction"))
-    return chunks.join(models, "seq_id").select("seq_id", F.inline(_answers("items", "asked")))
+    return sequences.spread(chunks.join(models, "seq_id"), "seq_id", "chunk").select("seq_id", F.inline(_answers("items", "asked")))
 
 
 def accept(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -157,5 +157,5 @@ def log_loss(seqs: DataFrame, tests: DataFrame, m_order: int | None = None) -> D
 
     packed = sequences.pack(tests, "test_id").withColumnRenamed("items", "test")
     models = sequences.pack(bounded(seqs, "prediction"))
-    scored = models.join(packed, "seq_id").select("seq_id", "test_id", loss("items", "test").alias("l"))
+    scored = sequences.spread(models.join(packed, "seq_id"), "seq_id", "test_id").select("seq_id", "test_id", loss("items", "test").alias("l"))
     return scored.select("seq_id", "test_id", "l.log_loss", "l.mean_context")

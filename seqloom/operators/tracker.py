@@ -100,7 +100,7 @@ def track(models: DataFrame, obs: DataFrame, decay: float = 1.0, rule: str = "pr
         return pa.array(out, type=pa.list_(pa.int32()))
 
     packed = sequences.pack(bounded(obs, "tracking"))
-    frames = packed.join(models, "seq_id").select(
+    frames = sequences.spread(packed.join(models, "seq_id"), "seq_id").select(
         "seq_id", F.posexplode(follow(*MODEL, "items")).alias("i", "frame")
     )
     return frames.select("seq_id", (F.col("i") + 1).alias("t"), "frame")

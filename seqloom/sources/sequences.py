@@ -39,9 +39,29 @@ def lengths(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition, over the session's shuffle partitions.
+
+    The explicit count keeps adaptive execution from merging the partitions: their
+    sequences are small in bytes but each costs a walk in Python.  A following
+    ``groupBy`` on the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out over the shuffle partitions by a hash of the keys, for Python-heavy steps.
+
+    Hashing once more keeps this apart from a partitioning by the keys themselves, which
+    adaptive execution may have merged into few partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, F.xxhash64(*keys))
+
+
 def pack(seqs: DataFrame, *keys: str) -> DataFrame:
     """One row per bounded sequence with its items in order."""
-    packed = seqs.groupBy("seq_id", *keys).agg(
+    packed = together(seqs, "seq_id", *keys).groupBy("seq_id", *keys).agg(
         F.sort_array(F.collect_list(F.struct("ord", "item"))).alias("packed")
     )
     return packed.select("seq_id", *keys, F.col("packed.item").alias("items"))
