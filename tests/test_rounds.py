@@ -5,7 +5,7 @@ import random
 import pytest
 
 from conftest import sequences_of
-from seqloom.operators import automaton, rounds
+from seqloom.operators import rounds
 from seqloom.operators.automaton import build_index
 
 COLUMNS = ["seq_id", "state", "sfx", "lrs", "label", "prev_label", "word", "word_end", "trn"]
@@ -15,28 +15,15 @@ def rows(index):
     return sorted(tuple(r) for r in index.states.select(*COLUMNS).collect())
 
 
-def test_symbols(spark):
-    rng = random.Random(3)
-    table = {
-        1: list("abbcabcdabc"),
-        2: [rng.choice("ab") for _ in range(60)],
-        3: list("abcd" * 8),
-        4: list("aaaaaaa"),
-    }
-    seqs = sequences_of(spark, table)
-    assert rows(build_index(seqs, limit=0)) == rows(build_index(seqs))
-
-
-@pytest.mark.parametrize("method", ["inc", "complete"])
-def test_frames(spark, method):
-    rng = random.Random(4)
-    table = {s: [[round(rng.random(), 2)] for _ in range(30)] for s in (1, 2)}
-    seqs = sequences_of(spark, table, "frame")
-    options = {"kind": "variable", "threshold": 0.15, "method": method}
-    assert rows(build_index(seqs, limit=0, **options)) == rows(build_index(seqs, **options))
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_only_long_sequences_take_rounds(spark, monkeypatch):
+def test_only_long_symbol_sequences_take_rounds(spark, monkeypatch, one_partition):
     seen = []
     inner = rounds.link_by_rounds
 
@@ -45,7 +32,14 @@ def test_only_long_sequences_take_rounds(spark, monkeypatch):
         return inner(seqs, *args)
 
     monkeypatch.setattr(rounds, "link_by_rounds", spy)
-    seqs = sequences_of(spark, {1: list("abab"), 2: list("abcabcabc")})
+    table = {1: list("abbcabcdabc"), 2: list("abab"), 3: list("aaaaaaa"), 4: list("a")}
+    seqs = sequences_of(spark, table)
     assert rows(build_index(seqs, limit=5)) == rows(build_index(seqs))
-    assert seen == [2]
-    assert automaton.LIMIT > 5
+    assert seen == [1, 3]
+
+
+def test_whole_chain_on_frames(spark, one_partition):
+    rng = random.Random(4)
+    seqs = sequences_of(spark, {1: [[round(rng.random(), 2)] for _ in range(12)]}, "frame")
+    options = {"kind": "variable", "threshold": 0.2, "method": "complete"}
+    assert rows(build_index(seqs, limit=0, **options)) == rows(build_index(seqs, **options))
