@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.distance import row_metric
 from ..sources import sequences
-from .automaton import Index, build_index
-from .hmm import bounded
+from .automaton import LIMIT, Index, build_index
+from .walks import walk_by_rounds
 
 POLICIES = ("forward", "forward_self", "suffix")
 
@@ -29,7 +29,7 @@ _STEPS_ARROW = pa.struct([("start", pa.int32()), ("t", pa.int32()), ("state", pa
 
 def models(index: Index, seqs: DataFrame) -> DataFrame:
     """One row per model: frames and link arrays of a bounded sequence."""
-    index.require_bounded("matching")
+    index.require_bounded("a packed model")
     st = index.states.groupBy(*index.keys).agg(
         F.sort_array(F.collect_list(F.struct("state", "label", "sfx", "trn"))).alias("m")
     )
@@ -39,9 +39,33 @@ def models(index: Index, seqs: DataFrame) -> DataFrame:
     return links.join(sequences.pack(seqs).withColumnRenamed("items", "m_items"), "seq_id")
 
 
-def _walks(model: DataFrame, obs: DataFrame, pairs: DataFrame, keys, starts: DataFrame | None, **how):
-    """Steps ``start, t, state, cost`` of every pair; ``cost`` accumulates."""
-    joined = pairs.join(obs.withColumnRenamed("items", "o_items"), "obs_id").join(model, "seq_id")
+def _walks(index, seqs, obs, pairs, starts=None, limit=LIMIT, factor=None, **how) -> DataFrame:
+    """Steps ``start, t, state, cost`` of every pair; ``cost`` accumulates.
+
+    Bounded pairs are walked inside a task, longer ones by rounds of joins.  ``factor``
+    cuts the observations into chunks, each walked on its own.
+    """
+    _check(how["policy"])
+    keys = ["obs_id"] if factor is None else ["obs_id", "chunk"]
+    named = obs
+    if factor is not None:
+        named = sequences.number(obs).select(
+            "seq_id", ((F.col("pos") - 1) / factor).cast("int").alias("chunk"), F.struct("pos").alias("ord"), "item"
+        )
+    longest = max(index.longest, sequences.lengths(obs).agg(F.max("n")).first()[0] or 0)
+    if pairs is None:
+        pairs = obs.select("seq_id").distinct().withColumn("obs_id", F.col("seq_id"))
+    if longest > limit:
+        numbered = sequences.number(obs)
+        t = F.col("pos") if factor is None else (F.col("pos") - 1) % factor + 1
+        cols = [F.col("seq_id").alias("obs_id"), t.cast("int").alias("t"), F.col("item").alias("q")]
+        if factor is not None:
+            cols.append(((F.col("pos") - 1) / factor).cast("int").alias("chunk"))
+        return walk_by_rounds(index, seqs, numbered.select(*cols), pairs, keys, starts, **how)
+    packed = sequences.pack(named, *keys[1:]).select(
+        F.col("seq_id").alias("obs_id"), *keys[1:], F.col("items").alias("o_items")
+    )
+    joined = pairs.join(packed, "obs_id").join(models(index, seqs), "seq_id")
     if starts is None:
         joined = joined.withColumn("starts", F.lit(None).cast("array<int>"))
     else:
@@ -135,14 +159,6 @@ def _reach(sfx, trn, child, p, policy) -> list[int]:
     return [*forward, *back, *trn[sfx[p]]]
 
 
-def _own(obs: DataFrame) -> DataFrame:
-    return obs.select("obs_id").distinct().withColumn("seq_id", F.col("obs_id"))
-
-
-def _packed_obs(obs: DataFrame) -> DataFrame:
-    return sequences.pack(bounded(obs, "matching")).withColumnRenamed("seq_id", "obs_id")
-
-
 def _check(policy: str) -> None:
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; known: {POLICIES}")
@@ -157,11 +173,8 @@ def query_paths(
     ``pairs`` (``obs_id, seq_id``) says which observations meet which model, by default
     the model of the same id.
     """
-    _check(policy)
-    packed = _packed_obs(obs)
-    pairs = _own(packed) if pairs is None else pairs
     how = {"policy": policy, "nearest": True, "weight": weight if smooth else None, "metric": metric}
-    return _walks(models(index, seqs), packed, pairs, ["obs_id"], None, **how)
+    return _walks(index, seqs, obs, pairs, **how)
 
 
 def best_path(paths: DataFrame, *keys: str) -> DataFrame:
@@ -179,15 +192,8 @@ def query_with_continuity(
     """Match chunks of ``factor`` observations and choose nearby states inside each chunk."""
     if factor not in (1, 2, 3):
         raise ValueError("the continuity factor is 1, 2 or 3")
-    _check(policy)
-    chunked = sequences.number(obs).select(
-        F.col("seq_id"), ((F.col("pos") - 1) / factor).cast("int").alias("chunk"),
-        F.struct("pos").alias("ord"), "item",
-    )
-    packed = sequences.pack(chunked, "chunk").withColumnRenamed("seq_id", "obs_id")
-    pairs = _own(packed) if pairs is None else pairs
     how = {"policy": policy, "nearest": True, "weight": weight if smooth else None}
-    paths = _walks(models(index, seqs), packed, pairs, ["obs_id", "chunk"], None, **how)
+    paths = _walks(index, seqs, obs, pairs, factor=factor, **how)
     best = best_path(paths, "obs_id", "seq_id", "chunk")
     options = best.join(index.states.select("seq_id", "state", "trn"), ["seq_id", "state"]).select(
         "obs_id", "seq_id", "chunk", "t", F.concat(F.array("state"), "trn").alias("options")
@@ -230,12 +236,9 @@ def track(
     policy: str = "forward_self", nearest: bool = False, decay: float = 1.0, reverse_init: bool = False,
 ) -> DataFrame:
     """The state of the cheapest path at every step: ``obs_id, seq_id, t, state, cost``."""
-    _check(policy)
-    packed = _packed_obs(obs)
-    pairs = _own(packed) if pairs is None else pairs
     starts = reverse_starts(index, seqs) if reverse_init else None
     how = {"policy": policy, "nearest": nearest, "decay": decay}
-    paths = _walks(models(index, seqs), packed, pairs, ["obs_id"], starts, **how)
+    paths = _walks(index, seqs, obs, pairs, starts, **how)
     return _cheapest(paths, "start")
 
 
@@ -271,11 +274,8 @@ def align(
     policy: str = "forward_self", nearest: bool = False,
 ) -> DataFrame:
     """The single path from state 1: ``obs_id, seq_id, t, state, cost``."""
-    _check(policy)
-    packed = _packed_obs(obs)
-    pairs = _own(packed) if pairs is None else pairs
     starts = index.states.where("state = 1").select("seq_id", F.array("state").alias("starts"))
-    paths = _walks(models(index, seqs), packed, pairs, ["obs_id"], starts, policy=policy, nearest=nearest)
+    paths = _walks(index, seqs, obs, pairs, starts, policy=policy, nearest=nearest)
     return paths.drop("start")
 
 
@@ -287,12 +287,9 @@ def track_gestures(
     ``pairs`` lists the candidate models of every observation sequence.  Each model is
     walked from its first state without cluster expansion; the cheapest so far wins.
     """
-    packed = _packed_obs(obs)
     starts = index.states.where("state = 1").select("seq_id", F.array("state").alias("starts"))
     policy = "forward_self" if self_transition else "forward"
-    paths = _walks(
-        models(index, seqs), packed, pairs, ["obs_id"], starts, policy=policy, nearest=False, expand=False
-    )
+    paths = _walks(index, seqs, obs, pairs, starts, policy=policy, nearest=False, expand=False)
     now = paths.groupBy("obs_id", "t").agg(F.min(F.struct("cost", "seq_id", "state")).alias("b"))
     return now.select("obs_id", "t", F.col("b.seq_id").alias("gesture"), "b.state", "b.cost")
 
