@@ -54,15 +54,23 @@ def hmm_tensor(index: Index, max_lrs: int | None = None, smooth: bool = False) -
     )
 
 
-def cluster_medians(index: Index, seqs: DataFrame) -> DataFrame:
-    """Per-dimension medians of every cluster: ``label, dim, med``."""
+def cluster_medians(index: Index, seqs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Per-dimension medians of every cluster: ``label, dim, med``.
+
+    ``median`` keeps the distinct values of a group in memory; beyond ``limit`` states
+    the values are ranked in slices instead and the middle ones picked.
+    """
     items = sequences.number(seqs).withColumnRenamed("pos", "state")
     labelled = index.frames.select(*index.keys, "state", "label").join(items, ["seq_id", "state"])
-    return (
-        labelled.select(*index.keys, "label", F.posexplode("item").alias("dim", "x"))
-        .groupBy(*index.keys, "label", "dim")
-        .agg(F.median("x").alias("med"))
-    )
+    values = labelled.select(*index.keys, "label", F.posexplode("item").alias("dim", "x"))
+    group = [*index.keys, "label", "dim"]
+    if index.longest <= limit:
+        return values.groupBy(*group).agg(F.median("x").alias("med"))
+    lists = values.select(F.struct(*group).alias("seq_id"), F.struct("x").alias("ord"), F.col("x").alias("item"))
+    ranked = sequences.number(lists).join(sequences.lengths(lists), "seq_id")
+    middle = ranked.where("pos IN ((n + 1) div 2, n div 2 + 1)")
+    med = middle.groupBy("seq_id").agg(F.avg("item").alias("med"))
+    return med.select("seq_id.*", "med")
 
 
 def recognition(index: Index, seqs: DataFrame, obs: DataFrame, order: int = 1, smooth: bool = False):

@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.orbit import nearest_larger_before, orbit
+from ..session import cut
 from ..sources.sequences import together
-from .automaton import Index
+from .automaton import LIMIT, Index
+from .similarity import cluster_sizes
 
 PATTERNS = T.ArrayType(
     T.StructType(
@@ -28,7 +31,10 @@ def find_repeated_patterns(index: Index, lower: int = 1) -> DataFrame:
     A pattern only collects states joined by suffix links, hence of one cluster, so each
     cluster is scanned on its own.
     """
-    index.require_bounded("pattern search")
+    if index.longest > LIMIT:
+        largest = cluster_sizes(index).agg(F.max("size")).first()[0]
+        if largest > LIMIT:
+            raise ValueError(f"pattern search holds one cluster per task; {largest} > {LIMIT} states")
     lower = max(lower, 0)
     keys = list(index.keys)
     st = index.with_next(index.frames.drop("trn"), next_sfx="sfx", next_lrs="lrs")
@@ -121,20 +127,15 @@ def _fragments(lrs):
     return out
 
 
-def find_fragments(index: Index) -> DataFrame:
+def find_fragments(index: Index, limit: int = LIMIT) -> DataFrame:
     """Backward fragments ``frag, end, len, link``.
 
     ``frag`` counts from the end of the sequence.  ``link`` belongs to the same fragment
     counted from the start: the number of the fragment ending at its earliest reverse
     suffix, shifted by its own place; 0 when there is none.
     """
-    index.require_bounded("fragment search")
     keys = list(index.keys)
-    packed = together(index.frames, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("state", "lrs"))).alias("s"))
-    chain = packed.select(*keys, _fragment_chain("s.lrs").alias("c")).select(
-        *keys, F.size("c").alias("n"), F.posexplode("c").alias("frag", "c")
-    )
-    frags = chain.select(*keys, "n", "frag", "c.end", "c.len")
+    frags = _packed_fragments(index) if index.longest <= limit else _joined_fragments(index)
     child = index.frames.groupBy(*keys, F.col("sfx").alias("end")).agg(F.min("state").alias("to"))
     ends = frags.select(*keys, F.col("end").alias("to"), F.col("frag").alias("at"))
     linked = frags.join(child, [*keys, "end"], "left").join(ends, [*keys, "to"], "left")
@@ -142,3 +143,32 @@ def find_fragments(index: Index) -> DataFrame:
     return linked.select(
         *keys, "frag", "end", "len", F.when(F.col("at") > 0, F.col("at") + place).otherwise(0).alias("link")
     )
+
+
+def _packed_fragments(index: Index) -> DataFrame:
+    keys = list(index.keys)
+    packed = together(index.frames, *keys).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("state", "lrs"))).alias("s")
+    )
+    chain = packed.select(*keys, _fragment_chain("s.lrs").alias("c")).select(
+        *keys, F.size("c").alias("n"), F.posexplode("c").alias("frag", "c")
+    )
+    return chain.select(*keys, "n", "frag", "c.end", "c.len")
+
+
+def _joined_fragments(index: Index) -> DataFrame:
+    """The same for sequences of any length: fragment sizes for all states, then the chain."""
+    keys = list(index.keys)
+    values = index.frames.select(*keys, F.col("state").alias("i"), F.col("lrs").alias("v"))
+    seen = nearest_larger_before(values, keys, values.agg(F.max("v")).first()[0] or 1)
+    size = F.when(F.col("v") > 1, F.least(F.col("v"), F.col("i") - F.col("before"))).otherwise(1)
+    steps = cut(seen.select(*keys, F.col("i").alias("j"), size.alias("len"), (F.col("i") - size).alias("to")))
+    last = steps.groupBy(*keys).agg(F.max("j").alias("j"))
+    used = orbit(last, steps, keys, index.longest).withColumn("used", F.lit(1))
+    marked = steps.join(used, [*keys, "j"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    ranked = index.running(marked, "j", sums={"rank": F.col("used")}).where("used = 1")
+    count = ranked.groupBy(*keys).agg(F.max("rank").alias("n"))
+    return ranked.join(count, keys).select(
+        *keys, F.col("n").cast("int").alias("n"), (F.col("n") - F.col("rank")).cast("int").alias("frag"),
+        F.col("j").alias("end"), "len",
+    )

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance
+from ..functions.orbit import orbit
 from ..functions.scan import running
 from ..session import cut
 from ..sources import sequences
@@ -211,15 +212,7 @@ def _words(nodes: DataFrame, by, longest: int) -> DataFrame:
     )
     nxt = cut(nxt)
     starts = nodes.where("i = 0").select(*by, F.col("i").alias("j"))
-    jump, span = nxt, 1
-    while span <= longest:
-        landed = starts.join(jump, [*by, "j"]).select(*by, F.col("to").alias("j"))
-        starts = cut(starts.unionByName(landed).distinct())
-        onward = jump.select(*by, F.col("j").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.join(onward, [*by, "to"]).select(*by, "j", F.col("far").alias("to")))
-        span *= 2
-        if jump.isEmpty():
-            break
+    starts = orbit(starts, nxt, by, longest)
     opened = starts.join(nxt, [*by, "j"]).select(*by, (F.col("j") + 1).alias("i"), "j", "to")
     marked = nodes.where("i > 0").select(*by, "i").join(opened, [*by, "i"], "left")
     named = running(marked, by, "i", longest, maxes={"word": F.col("j"), "word_end": F.col("to")})

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from conftest import sequences_of
-from seqloom.operators import matching
+from seqloom.operators import hmm, matching, motifs
 from seqloom.operators.automaton import build_index
 
 
@@ -29,3 +29,15 @@ def test_rounds_equal_task(spark, how):
         return sorted((r.obs_id, r.seq_id, r.start, r.t, r.state, round(r.cost, 9)) for r in rows)
 
     assert steps(1) == steps(100)
+
+
+def test_long_fragments_and_medians(spark):
+    items = list("abbcabcdabc" * 2 + "abcdabcabcd")
+    ix = build_index(sequences_of(spark, {1: items, 2: list("aaaaab")}))
+    assert sorted(motifs.find_fragments(ix, limit=1).collect()) == sorted(motifs.find_fragments(ix).collect())
+
+    rng = random.Random(8)
+    seqs = sequences_of(spark, {s: [[rng.randint(0, 9) / 10] for _ in range(21)] for s in (1, 2)}, "frame")
+    frames = build_index(seqs, "variable", 0.25)
+    short, long = (hmm.cluster_medians(frames, seqs, limit=n) for n in (100, 1))
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.select(short.columns).collect()))
