@@ -60,7 +60,7 @@ def cluster_medians(index: Index, seqs: DataFrame, limit: int = LIMIT) -> DataFr
     ``median`` keeps the distinct values of a group in memory; beyond ``limit`` states
     the values are ranked in slices instead and the middle ones picked.
     """
-    items = sequences.number(seqs).withColumnRenamed("pos", "state")
+    items = sequences.number(seqs, index.longest).withColumnRenamed("pos", "state")
     labelled = index.frames.select(*index.keys, "state", "label").join(items, ["seq_id", "state"])
     values = labelled.select(*index.keys, "label", F.posexplode("item").alias("dim", "x"))
     group = [*index.keys, "label", "dim"]

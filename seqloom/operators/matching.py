@@ -47,12 +47,12 @@ def _walks(index, seqs, obs, pairs, starts=None, limit=LIMIT, factor=None, **how
     """
     _check(how["policy"])
     keys = ["obs_id"] if factor is None else ["obs_id", "chunk"]
+    longest = max(index.longest, sequences.lengths(obs).agg(F.max("n")).first()[0] or 0)
     named = obs
     if factor is not None:
-        named = sequences.number(obs).select(
+        named = sequences.number(obs, longest).select(
             "seq_id", ((F.col("pos") - 1) / factor).cast("int").alias("chunk"), F.struct("pos").alias("ord"), "item"
         )
-    longest = max(index.longest, sequences.lengths(obs).agg(F.max("n")).first()[0] or 0)
     if pairs is None:
         pairs = obs.select("seq_id").distinct().withColumn("obs_id", F.col("seq_id"))
     if longest > limit:
@@ -266,7 +266,7 @@ def reverse_starts(index: Index, seqs: DataFrame) -> DataFrame:
 def reverse_index(index: Index, seqs: DataFrame) -> Index:
     """The automaton of the reversed sequences, with the parameters of ``index``."""
     kind, threshold, metric, method = index.params
-    return build_index(sequences.reverse(seqs), kind, threshold, metric, method, longest=index.longest)
+    return build_index(sequences.reverse(seqs, index.longest), kind, threshold, metric, method, longest=index.longest)
 
 
 def align(
@@ -304,7 +304,7 @@ def pattern_automata(index: Index, seqs: DataFrame, patterns: DataFrame) -> Data
     spans = patterns.select(
         "seq_id", "pattern", "len", F.posexplode("ends").alias("occ", "end")
     ).select("seq_id", "pattern", "occ", "len", F.explode(F.expr("sequence(end - len + 1, end)")).alias("pos"))
-    items = sequences.number(seqs)
+    items = sequences.number(seqs, index.longest)
     occurrence = F.struct("seq_id", "pattern", "occ")
     pieces = spans.join(items, ["seq_id", "pos"]).select(
         occurrence.alias("seq_id"), F.struct("pos").alias("ord"), "item"

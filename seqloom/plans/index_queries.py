@@ -435,7 +435,9 @@ register(
        FROM im WHERE remaining <= 0""",
     ints=["seq_id", "step", "state"],
 )
-GENERATE = f"""{FO},
+def generate_sql(p, lrs, pick):
+    """CTE ``ge`` with the generated walks; ``pick`` chooses from the list ``able``."""
+    return f"""{FO},
 an AS (
   SELECT seq_id, state AS k, state AS top FROM st WHERE state > 0
   UNION ALL
@@ -457,19 +459,32 @@ ge AS (
       CASE act WHEN 'on' THEN CASE WHEN k < n THEN k + 1 ELSE sfx[k + 1] + 1 END
                WHEN 'link' THEN fwd[1 + floor(u1 * len(fwd))::INT]
                ELSE CASE WHEN s = n THEN sfx[s + 1] + 2 ELSE s + 1 END END::BIGINT AS nk
-    FROM (SELECT *, CASE WHEN act = 'jump' THEN able[1 + floor(u1 * len(able))::INT] END AS s
-      FROM (SELECT *, CASE WHEN k = 0 OR sfx[k + 1] = 0 THEN 'on' WHEN u0 < 0.5 THEN 'link'
+    FROM (SELECT *, CASE WHEN act = 'jump' THEN {pick} END AS s
+      FROM (SELECT *, CASE WHEN k = 0 OR sfx[k + 1] = 0 THEN 'on' WHEN u0 < {p} THEN 'link'
                WHEN len(able) = 0 THEN 'on' ELSE 'jump' END AS act
         FROM (SELECT ge.*, sq.n, f.sfx, f.lrs,
             CASE WHEN len(f.trn[ge.k + 1]) = 0 THEN f.trn[f.sfx[ge.k + 1] + 1] ELSE f.trn[ge.k + 1] END AS fwd,
-            list_filter(kin.rel, lambda s: f.lrs[s + 1] >= 1) AS able,
-            {uniform_sql("ge.seq_id", "step", 0)} AS u0, {uniform_sql("ge.seq_id", "step", 1)} AS u1
+            list_filter(kin.rel, lambda s: f.lrs[s + 1] >= {lrs}) AS able,
+            {uniform_sql("ge.seq_id", "step", 0)} AS u0, {uniform_sql("ge.seq_id", "step", 1)} AS u1,
+            {uniform_sql("ge.seq_id", "step", 2)} AS u2
           FROM ge JOIN sq ON sq.seq_id = ge.seq_id JOIN fin f ON f.seq_id = ge.seq_id
           LEFT JOIN kin ON kin.seq_id = ge.seq_id AND kin.k = ge.k WHERE step < 60))))
 )"""
+
+
+UNIFORM = "able[1 + floor(u1 * len(able))::INT]"
+REPEATS = "list_transform(able, lambda s: lrs[s + 1])"
+TARGET = f"(list_max({REPEATS}) - floor(-ln(1 - u2)))"
+GAP = f"list_min(list_transform({REPEATS}, lambda v: abs(v - {TARGET})))"
+NEAR = f"list_filter(able, lambda s: abs(lrs[s + 1] - {TARGET}) = {GAP})"
+PICKS = {
+    "max": f"able[list_position({REPEATS}, list_max({REPEATS}))]",
+    "weight": f"CASE WHEN {GAP} = 0 THEN {NEAR}[1 + floor(u1 * len({NEAR}))::INT] ELSE {NEAR}[1] END",
+}
+GENERATE = generate_sql(0.5, 1, UNIFORM)
+WALKED = "SELECT seq_id, unnest(range(0, len(walk))) AS step, unnest(walk) AS state FROM ge WHERE step = 60"
 register(
-    "generate", on_index(lambda ix: generation.generate(ix, _seeds(ix), 60, p=0.5, lrs=1)), GENERATE,
-    "SELECT seq_id, unnest(range(0, len(walk))) AS step, unnest(walk) AS state FROM ge WHERE step = 60",
+    "generate", on_index(lambda ix: generation.generate(ix, _seeds(ix), 60, p=0.5, lrs=1)), GENERATE, WALKED,
     ints=["seq_id", "step", "state"],
 )
 register(
@@ -481,6 +496,7 @@ for _weight in ("max", "weight"):
     register(
         f"generate_{_weight}",
         on_index(lambda ix, w=_weight: generation.generate(ix, _seeds(ix), 60, p=0.3, weight=w)),
+        generate_sql(0.3, 0, PICKS[_weight]), WALKED,
         ints=["seq_id", "step", "state"],
     )
 

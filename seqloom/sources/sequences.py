@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scan import BLOCK
+
 
 def symbols(df: DataFrame, seq, order: list[str], item) -> DataFrame:
     """Symbol sequences: ``item`` is any column whose values compare by equality.
@@ -30,9 +32,9 @@ def frames(df: DataFrame, seq, order: list[str], vec) -> DataFrame:
     return symbols(df, seq, order, c)
 
 
-def reverse(seqs: DataFrame) -> DataFrame:
+def reverse(seqs: DataFrame, longest: int | None = None) -> DataFrame:
     """The same sequences read backwards (over positions, so numbering comes first)."""
-    return number(seqs).select("seq_id", F.struct((-F.col("pos")).alias("pos")).alias("ord"), "item")
+    return number(seqs, longest).select("seq_id", F.struct((-F.col("pos")).alias("pos")).alias("ord"), "item")
 
 
 def lengths(seqs: DataFrame) -> DataFrame:
@@ -70,13 +72,18 @@ def pack(seqs: DataFrame, *keys: str) -> DataFrame:
 RANGES = 512  # slices of the order key used to number long sequences
 
 
-def number(seqs: DataFrame) -> DataFrame:
+def number(seqs: DataFrame, longest: int | None = None) -> DataFrame:
     """Dense positions ``pos`` = 1..N inside every sequence.
 
-    A plain ``row_number`` would sort a whole sequence in one task.  Here the rows are
-    ranked inside slices of the first order column and every slice starts after the
-    counts of the earlier ones, so one very long sequence is spread over the slices.
+    A plain ``row_number`` sorts a whole sequence in one task and serves only when
+    ``longest`` is known to be small.  Otherwise the rows are ranked inside slices of the
+    first order column and every slice starts after the counts of the earlier ones, so
+    one very long sequence is spread over the slices.
     """
+    if longest is not None and longest <= BLOCK:
+        return seqs.selectExpr(
+            "seq_id", "row_number() OVER (PARTITION BY seq_id ORDER BY ord) AS pos", "item"
+        )
     slices = _slices(seqs)
     cut_at = F.lit(0) if not slices else sum(
         (F.when(_first(seqs) > F.lit(b), 1).otherwise(0) for b in slices), F.lit(0)
