@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import sequences
+from .automaton import LIMIT, build_index
+from .context_joins import accept_by_joins, predict_by_joins
 from .hmm import bounded
 from .links import link_symbols
 
@@ -123,17 +125,25 @@ def _asked(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
     chunks = contexts.groupBy("seq_id", F.expr(f"ctx_id div {CHUNK}").alias("chunk")).agg(
         F.collect_list(F.struct("ctx_id", "context")).alias("asked")
     )
-    models = sequences.pack(bounded(seqs, "prediction"))
-    return sequences.spread(chunks.join(models, "seq_id"), "seq_id", "chunk").select("seq_id", F.inline(_answers("items", "asked")))
+    joined = sequences.spread(chunks.join(sequences.pack(seqs), "seq_id"), "seq_id", "chunk")
+    return joined.select("seq_id", F.inline(_answers("items", "asked")))
+
+
+def _longest(seqs: DataFrame) -> int:
+    return sequences.lengths(seqs).agg(F.max("n")).first()[0] or 0
 
 
-def accept(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
+def accept(seqs: DataFrame, contexts: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Whether each context is spelled by forward links: ``ctx_id, accepted, state``."""
+    if _longest(seqs) > limit:
+        return accept_by_joins(build_index(seqs), seqs, contexts)
     return _asked(seqs, contexts).select("seq_id", "ctx_id", "accepted", "state")
 
 
-def predict(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
+def predict(seqs: DataFrame, contexts: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Next-symbol probabilities: ``ctx_id, used, symbol, prob``; ``ctx_id`` is dense."""
+    if _longest(seqs) > limit:
+        return predict_by_joins(build_index(seqs), seqs, contexts)
     probs = F.arrays_zip("symbols", "probs")
     return _asked(seqs, contexts).select(
         "seq_id", "ctx_id", "used", F.inline(probs).alias("symbol", "prob")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from conftest import sequences_of
-from seqloom.operators import hmm, matching, motifs
+from seqloom.operators import hmm, matching, motifs, predict
 from seqloom.operators.automaton import build_index
 
 
@@ -41,3 +41,20 @@ def test_long_fragments_and_medians(spark):
     frames = build_index(seqs, "variable", 0.25)
     short, long = (hmm.cluster_medians(frames, seqs, limit=n) for n in (100, 1))
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.select(short.columns).collect()))
+
+
+def test_long_prediction(spark):
+    seqs = sequences_of(spark, {1: list("abbcabcdabcabdc"), 2: list("xyxyyx")})
+    asked = [
+        (1, 0, ["a", "b"]), (1, 1, ["x", "b"]), (1, 2, []), (1, 3, ["c", "a", "b", "d"]), (1, 4, ["z"]),
+        (2, 0, ["x", "y", "x"]), (2, 1, ["y", "y", "y"]),
+    ]
+    contexts = spark.createDataFrame(asked, "seq_id long, ctx_id long, context array<string>")
+
+    def told(limit):
+        said = predict.predict(seqs, contexts, limit=limit).collect()
+        took = predict.accept(seqs, contexts, limit=limit).collect()
+        rows = [(r.seq_id, r.ctx_id, r.used, r.symbol, round(r.prob, 9)) for r in said]
+        return sorted(rows), sorted(map(tuple, took))
+
+    assert told(1) == told(100)
