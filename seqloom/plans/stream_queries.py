@@ -35,10 +35,6 @@ def _track(rule, decay):
 
 def _live_dirs(spark):
     base = f"{checkpoint_dir(spark)}/live-{uuid.uuid4()}"
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     return f"{base}/rows", f"{base}/checkpoint"
 
 

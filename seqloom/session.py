@@ -25,15 +25,18 @@ def local_session(app: str, cpus: int = 8) -> SparkSession:
     return spark
 
 
+_temporary: dict[str, str] = {}  # scratch folders of applications without a shared one
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a temporary one where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="seqloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _temporary:
+        _temporary[app] = tempfile.mkdtemp(prefix="seqloom-")
+    return _temporary[app]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.links import add_state
 from ..operators.tracker import MODEL, Follower
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _CELL = T.StructType(
     [
         T.StructField("from", T.IntegerType()),
@@ -194,13 +197,20 @@ def grow_stream(stream: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what has arrived and read back its parquet output."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    """Run a stream over what has arrived and read back its parquet output.
+
+    Keyed state needs the RocksDB store, which is chosen for the time of the run.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE)
+    conf.set(STORE, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set(STORE, before)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
