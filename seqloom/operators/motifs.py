@@ -27,7 +27,7 @@ PATTERNS = T.ArrayType(
 def find_repeated_patterns(index: Index, lower: int = 1) -> DataFrame:
     """Repeated patterns ``pattern, ends, len`` longer than ``lower``.
 
-    ``pattern`` is the state that opened the pattern; the reference order is descending.
+    ``pattern`` is the state that opened the pattern; patterns are found in descending order of it.
     A pattern only collects states joined by suffix links, hence of one cluster, so each
     cluster is scanned on its own.
     """

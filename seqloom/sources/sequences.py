@@ -17,7 +17,8 @@ from ..functions.scan import BLOCK
 def symbols(df: DataFrame, seq, order: list[str], item) -> DataFrame:
     """Symbol sequences: ``item`` is any column whose values compare by equality.
 
-    For tuple-valued items pass the component to compare by, e.g. ``F.col("pair._1")``.
+    Rows that the order columns leave tied are ordered by their items.  For tuple-valued
+    items pass the component to compare by, e.g. ``F.col("pair._1")``.
     """
     return df.select(_col(seq).alias("seq_id"), F.struct(*order).alias("ord"), _col(item).alias("item"))
 
@@ -82,7 +83,7 @@ def number(seqs: DataFrame, longest: int | None = None) -> DataFrame:
     """
     if longest is not None and longest <= BLOCK:
         return seqs.selectExpr(
-            "seq_id", "row_number() OVER (PARTITION BY seq_id ORDER BY ord) AS pos", "item"
+            "seq_id", "row_number() OVER (PARTITION BY seq_id ORDER BY ord, item) AS pos", "item"
         )
     slices = _slices(seqs)
     cut_at = F.lit(0) if not slices else sum(
@@ -97,7 +98,7 @@ def number(seqs: DataFrame, longest: int | None = None) -> DataFrame:
         )
     )
     ranked = cut.selectExpr(
-        "*", "row_number() OVER (PARTITION BY seq_id, slice ORDER BY ord) AS in_slice"
+        "*", "row_number() OVER (PARTITION BY seq_id, slice ORDER BY ord, item) AS in_slice"
     )
     return ranked.join(offset, ["seq_id", "slice"]).select(
         "seq_id", (F.col("before") + F.col("in_slice")).cast("int").alias("pos"), "item"

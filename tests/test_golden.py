@@ -73,6 +73,13 @@ def test_transitions(index):
     assert cells("trn") == pytest.approx(trn)
 
 
+def test_same_cluster_cells(index):
+    rows = {r.i: r for r in similarity.self_similarity(index).collect()}
+    tile = {(r.i, r.j) for r in similarity.similarity_tile(index, (1, 11), (3, 9)).collect()}
+    assert tile == {(i, j) for i in range(1, 12) for j in range(3, 10) if ITEMS[i - 1] == ITEMS[j - 1]}
+    assert all(rows[i].row_sum == ITEMS.count(ITEMS[i - 1]) for i in rows)
+
+
 def test_patterns(index):
     found = motifs.find_repeated_patterns(index).orderBy("pattern", ascending=False).collect()
     assert [(r.ends, r.len) for r in found] == [([11, 7], 3), ([10, 2, 6], 2), ([11, 7, 4], 2)]
