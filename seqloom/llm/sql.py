@@ -1,0 +1,73 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from . import quality
+
+_SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _stop_counts() -> str:
+    counts = []
+    for listed in quality.STOP_WORDS.values():
+        names = ", ".join(f"'{w}'" for w in listed.split())
+        counts.append(f"len(list_filter(w, lambda x: list_contains([{names}], x)))")
+    return f"greatest({', '.join(counts)})"
+
+
+def _rules() -> str:
+    tests = [f"{r.measure} >= {r.low}" for r in quality.RULES if r.low is not None]
+    return " AND ".join(tests + [f"{r.measure} <= {r.high}" for r in quality.RULES if r.high is not None])
+
+
+QUALITY = rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS ls
+  FROM documents),
+windows AS (
+  SELECT row_id, i, array_to_string(w[i : i + 7], ' ') AS k
+  FROM (SELECT row_id, w, unnest(range(1, len(w) - 6)) AS i FROM parts)),
+twice AS (
+  SELECT row_id, i FROM (SELECT *, count(*) OVER (PARTITION BY row_id, k) AS n FROM windows) WHERE n > 1),
+repeats AS (
+  SELECT row_id, sum(least(8, coalesce(following - i, 8))) AS n FROM (
+    SELECT row_id, i, lead(i) OVER (PARTITION BY row_id ORDER BY i) AS following FROM twice) GROUP BY row_id),
+counted AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(ls) AS n_lines, {_stop_counts()} AS stops,
+    len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS dots,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS bullets
+  FROM parts LEFT JOIN repeats r USING (row_id)),
+measured AS (
+  SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word,
+    stops / greatest(n_words, 1) AS stop_word_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+    dots / greatest(n_lines, 1) AS ellipsis_line_ratio, bullets / greatest(n_lines, 1) AS bullet_line_ratio,
+    n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed
+  FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {_rules()} AS kept
+FROM measured
+"""
+
+_UNESCAPE = r"regexp_replace({0}, '\\([\\/#])', '\1', 'g')"
+_ESCAPE = r"replace(replace(replace(t, '\', '\\'), '</turn>', '<\/turn>'), '### ', '\### ')"
+
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+written AS (
+  SELECT *, CASE WHEN contains(t, '</turn>') OR contains(t, '### ') OR {_UNESCAPE.format("t")} <> t
+    THEN {_ESCAPE} ELSE t END AS body FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || r || ': ' || body || '</turn>') + 1)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
