@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secret_scan, sharding, simhash, sql
+from . import ann, chat, mixing, packing, quality, secret_scan, sharding, simhash, sql
 from .columns import read
 
 
@@ -33,6 +33,16 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings")
+    return ann.nearest(table, table.where("vec_id % 20 = 0"), 20)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"))
+    return packed.select(*packing.NAMES, "sequence_id", "offset")
+
+
 SHOUT = r"\### Assistant: </turn> ok"
 
 
@@ -63,6 +73,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    shares = [F.round(F.col("posteriors")[i], 9).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
+    return rated.select("doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -91,7 +107,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": Query(op1_quality, sql.QUALITY),
     "op2_shards": Query(op2_shards),
+    "op3_ann": Query(op3_ann),
+    "op4_packing": Query(op4_packing),
     "op5_chat": Query(op5_chat, sql.CHAT),
+    "op6_mixing": Query(op6_mixing),
     "op8_simhash": Query(op8_simhash),
     "op10_secrets": Query(op10_secrets),
 }
