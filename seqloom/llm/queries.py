@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, quality, secret_scan, sharding, simhash, sql
+from . import ann, chat, mixing, packing, quality, secret_scan, sharding, simhash, sql, substrings, suffixes
 from .columns import read
 
 
@@ -79,11 +79,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.dedup(read(spark, sf_dir, "documents"))
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return done.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -111,6 +122,8 @@ QUERIES = {
     "op4_packing": Query(op4_packing),
     "op5_chat": Query(op5_chat, sql.CHAT),
     "op6_mixing": Query(op6_mixing),
+    "op7_substrings": Query(op7_substrings, sql.SUBSTRINGS),
     "op8_simhash": Query(op8_simhash),
+    "op9_suffixes": Query(op9_suffixes, sql.SUFFIXES),
     "op10_secrets": Query(op10_secrets),
 }

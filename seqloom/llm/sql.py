@@ -71,3 +71,42 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('### ' || r || ': ' || body || '</turn>') + 1)::BIGINT AS formatted_chars
 FROM written GROUP BY conv_id
 """
+
+SUBSTRINGS = rf"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs)),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, (SELECT unnest(range(20)) AS j)),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+  FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+SUFFIXES = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM docs)),
+firsts AS (SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k HAVING count(*) > 1),
+later AS (SELECT doc_id, i FROM windows JOIN firsts USING (k) WHERE first_id < doc_id),
+islands AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+    SELECT doc_id, i, (i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) > 50)::INT AS opens FROM later)),
+spans AS (SELECT doc_id, island, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY ALL),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+parts AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN parts USING (doc_id)
+"""
