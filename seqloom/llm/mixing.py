@@ -8,8 +8,10 @@ step needs one sum per domain, so the driver sees as many numbers as there are d
 each document's rate follows from the steps taken so far.  Residuals are scaled by each
 domain's own curvature, which makes a few steps enough.
 
-The classifier is fitted on at most ``LABELLED`` labelled documents, those with the
-smallest hash of their id; all other sums run over all documents.  Tokens are words.  A
+The classifier is a logistic regression over the words that tell the domains apart best
+and a few shares of characters, words and lines.  It is fitted on at most ``LABELLED``
+labelled documents, those with the smallest hash of their id; all other sums run over all
+documents.  Tokens are words.  A
 null text has no words.  Labels with a null are ignored; without usable labels, or with one
 domain only, every posterior is that domain's share among the labels, or uniform.  Repeated
 rows are documents of their own, with one label per id (the largest on ties); extra columns
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ from .columns import let, small_batches, words
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
 LABELLED = 20_000
-BUCKETS = 1 << 15  # of hashed words
+TELLING = 500  # words the classifier knows
+ROUNDS, SMOOTH = 30, 1e-3
+SHARES = ("_upper", "_marks", "_digits", "_variety", "_lines", "_size")
 STEPS, CLOSE = 40, 1e-4  # most steps, and the relative change of the sums that ends them
 FULL = 1.02  # budget over what the documents of the heaviest domain hold, so they stay whole
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,7 +52,7 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def _described(docs: DataFrame, text: str) -> DataFrame:
-    """Word terms and a few shares of characters, by which the classifier judges."""
+    """Word terms and a few shares by which the classifier judges."""
     plain = F.coalesce(F.col(text), F.lit(""))
     size = F.greatest(F.length(plain), F.lit(1))
     terms = F.filter(F.split(F.lower(plain), r"[\s\p{Punct}]+"), lambda w: w != "")
@@ -56,35 +60,58 @@ def _described(docs: DataFrame, text: str) -> DataFrame:
     def share(chars):
         return (F.length(plain) - F.length(F.translate(plain, chars, ""))) / size
 
-    described = docs.withColumns({"_terms": terms, "_upper": share(UPPER), "_marks": share(MARKS)})
-    return described.withColumn("_variety", let(F.col("_terms"), lambda t: F.size(F.array_distinct(t)) / F.greatest(F.size(t), F.lit(1))))
-
-
-def _stages():
-    hashed = HashingTF(inputCol="_terms", outputCol="_hashed", numFeatures=BUCKETS, binary=True)
-    return hashed, VectorAssembler(inputCols=["_hashed", "_upper", "_marks", "_variety"], outputCol="_features")
+    def distinct(values):
+        return F.size(F.array_distinct(values)) / F.greatest(F.size(values), F.lit(1))
+
+    described = docs.withColumns({"_terms": terms, "_upper": share(UPPER), "_marks": share(MARKS), "_digits": share("0123456789")})
+    return described.withColumns(
+        {
+            "_variety": let(F.col("_terms"), distinct),
+            "_lines": let(F.split(plain, "\n"), distinct),
+            "_size": F.log1p(F.size("_terms")),
+        }
+    )
+
+
+def _telling_words(rows: DataFrame, sizes: dict[int, int], most: int) -> list[str]:
+    """The words whose share of documents differs most between a domain and the others."""
+    n = sum(sizes.values())
+    seen = rows.select("_domain", F.explode(F.array_distinct("_terms")).alias("word"))
+    per = seen.groupBy("word").agg(*[F.sum((F.col("_domain") == d).cast("int")).alias(f"c{d}") for d in sizes])
+    every = sum(F.col(f"c{d}") for d in sizes)
+    z = [
+        F.abs(F.col(f"c{d}") / k - (every - F.col(f"c{d}")) / (n - k)) / F.sqrt(every / n * (1 - every / n) * (1 / k + 1 / (n - k)) + 1e-12)
+        for d, k in sizes.items()
+    ]
+    ranked = per.where(every >= 3).select("word", (F.greatest(*z) if len(z) > 1 else z[0]).alias("z"))
+    return [r["word"] for r in ranked.orderBy(F.desc("z"), "word").limit(most).collect()]  # bounded
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", labelled: int = LABELLED):
     """A function from documents to documents with a column ``posteriors``."""
+    docs = docs.select(F.col(key).alias("_key"), text)
     usable = labels.select(F.col(key).alias("_id"), domain_of(F.col("quality"), F.col("toxic")).alias("_domain"), "quality", "toxic")
     usable = usable.where("_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     one = usable.groupBy("_id").agg(F.max("_domain").alias("_domain"))
     sample = cut(one.orderBy(F.xxhash64("_id"), "_id").limit(labelled))
-    train = docs.join(F.broadcast(sample), F.col(key) == F.col("_id"))  # a bounded sample
-    hashed, assembled = _stages()
-    rows = assembled.transform(hashed.transform(_described(train.select(text, "_domain"), text))).select("_features", "_domain")
-    shares = {r["_domain"]: r["count"] for r in train.groupBy("_domain").count().collect()}  # a row per domain
-    if len(shares) < 2:
-        flat = [1.0 if d in shares else 0.0 for d in range(len(DOMAINS))] if shares else [1.0 / len(DOMAINS)] * len(DOMAINS)
+    train = docs.join(F.broadcast(sample), F.col("_key") == F.col("_id"))  # a bounded sample
+    rows = cut(_described(train.select(text, "_domain"), text).drop(text))
+    sizes = {r["_domain"]: r["count"] for r in rows.groupBy("_domain").count().orderBy("_domain").collect()}
+    if len(sizes) < 2:
+        flat = [1.0 if d in sizes else 0.0 for d in range(len(DOMAINS))] if sizes else [1.0 / len(DOMAINS)] * len(DOMAINS)
         return lambda df: df.withColumn("posteriors", F.array(*[F.lit(p) for p in flat]))
+    known = _telling_words(rows, sizes, TELLING) or ["the"]
+    counted = CountVectorizerModel.from_vocabulary(known, inputCol="_terms", outputCol="_words")
+    counted.setBinary(True)
+    assembled = VectorAssembler(inputCols=["_words", *SHARES], outputCol="_features")
+    rows = assembled.transform(counted.transform(rows)).select("_features", "_domain")
     model = LogisticRegression(
-        featuresCol="_features", labelCol="_domain", probabilityCol="_p", family="multinomial", maxIter=25, regParam=1e-3
+        featuresCol="_features", labelCol="_domain", probabilityCol="_p", family="multinomial", maxIter=ROUNDS, regParam=SMOOTH
     ).fit(rows)
     classes = model.numClasses
 
     def score(df: DataFrame) -> DataFrame:
-        done = model.transform(assembled.transform(hashed.transform(_described(df, text))))
+        done = model.transform(assembled.transform(counted.transform(_described(df, text))))
         given = vector_to_array("_p")
         full = F.concat(given, F.array_repeat(F.lit(0.0), len(DOMAINS) - classes)) if classes < len(DOMAINS) else given
         return done.withColumn("posteriors", full).select(*df.columns, "posteriors")
