@@ -8,7 +8,7 @@ the join rounds of :mod:`seqloom.operators.rounds`, whose tasks never hold a seq
 from __future__ import annotations
 
 from array import array
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scan import running, with_next
+from ..session import cut
 from ..sources import sequences
 from .links import link_frames, link_symbols
 
@@ -48,6 +49,10 @@ class Index:
     sources: DataFrame | None = None
     params: tuple = ()
 
+    def written(self) -> Index:
+        """The same index with its states in a table, for readers of several columns of it."""
+        return replace(self, states=cut(self.states))
+
     @property
     def frames(self) -> DataFrame:
         """The states that stand for items (all but state 0)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,17 +27,21 @@ def local_session(app: str, cpus: int = 8) -> SparkSession:
     return spark
 
 
-_temporary: dict[str, str] = {}  # scratch folders of applications without a shared one
+_temporary: dict[str, str] = {}  # scratch folders of local applications
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a temporary one where none is set."""
+    """The shared folder the cluster names; a temporary one only where all tasks run here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _temporary:
         _temporary[app] = tempfile.mkdtemp(prefix="seqloom-")
+        atexit.register(shutil.rmtree, _temporary[app], ignore_errors=True)
     return _temporary[app]
 
 

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import sequences_of
+from seqloom import session
 from seqloom.functions import cluster, distance
 from seqloom.functions.draws import uniform, uniform_column
 from seqloom.functions.scan import running, with_next
-from seqloom.operators import generation, matching, segmentation
+from seqloom.operators import generation, matching, segmentation, structure
 from seqloom.operators.automaton import build_index
 from seqloom.operators.links import link_symbols
 from seqloom.operators.render import save_segments
@@ -119,12 +120,8 @@ def test_kmeans_finds_groups():
 def test_filters():
     x = np.array([[1.0, 9.0, 2.0, 3.0, 100.0]])
     assert cluster.median_filter(x, 3, 1).tolist() == [[1.0, 2.0, 3.0, 3.0, 100.0]]
-    flat = cluster.gaussian_filter(np.ones((4, 6)), 9, 1)
-    assert flat == pytest.approx(np.ones((4, 6)))
     m = (np.random.default_rng(3).random((5, 5)) > 0.5).astype(float)
-    assert (cluster.unlag_matrix(cluster.lag_matrix(m, pad=True)) == m).all()
-    lag = cluster.lag_matrix(m, pad=False)
-    assert all(lag[d, i] == m[(d + i) % 5, i] for d in range(5) for i in range(5))
+    assert (cluster.unlag_matrix(cluster.lag_matrix(m)) == m).all()
 
 
 def test_laplacian_of_a_path():
@@ -177,11 +174,62 @@ def test_segments_of_clear_parts(spark):
         segmentation.segmentation(None)
 
 
-def test_novelty_peaks_stand_out():
-    curve = np.array([0, 0, 0, 0, 0, 0.2, 0.9, 0.2, 0, 0, 0, 0.01, 0])
-    assert segmentation.novelty_peaks(curve, 0.05) == [6]
-    assert segmentation.diagonal_score(np.eye(4)) == 1.0
-    assert segmentation.repeat_labels(np.kron(np.array([[1, 0, 1], [0, 0, 0], [1, 0, 1]]), np.eye(4)), [0, 4, 8, 12])[0] > 0
+def test_novelty_peaks_stand_out(spark):
+    curves = {1: [0, 0, 0, 0, 0, 0.2, 0.9, 0.2, 0, 0, 0, 0.01, 0], 2: [0, 0.9, 0, 0.8, 0], 3: [0, 0.5, 0.5, 0, 0, 0, 0, 0, 0, 0.7], 4: [0]}
+    rows = [(k, i, len(c), float(v)) for k, c in curves.items() for i, v in enumerate(c)]
+    curve = spark.createDataFrame(rows, "seq_id long, frame int, n int, novelty double")
+    found = structure.peaks(curve, ["seq_id"], 0.05)
+    assert sorted(map(tuple, found.collect())) == [(1, 6), (3, 9)]
+    spans = structure.spans_between(curve, found, ["seq_id"]).orderBy("seq_id", "seg").collect()
+    assert [tuple(r) for r in spans] == [(1, 0, 0, 6), (1, 1, 6, 12), (2, 0, 0, 4), (3, 0, 0, 9), (3, 1, 9, 9), (4, 0, 0, 0)]
+
+
+def plain_diagonal(block):
+    best, value = 0.0, {}
+    for i, row in enumerate(block):
+        for j, hit in enumerate(row):
+            steps = [value.get((i - 1, j - 1), 0), value.get((i - 2, j - 1), 0), value.get((i - 1, j - 2), 0)]
+            value[i, j] = hit + (max(steps) if i and j else 0)
+            best = max(best, value[i, j])
+    return best / min(len(block), len(block[0]))
+
+
+def test_diagonal_scores_and_names(spark):
+    rng = np.random.default_rng(4)
+    bounds = [0, 5, 12, 13, 20]
+    m = (rng.random((20, 20)) > 0.6).astype(int)
+    m[13:18, 0:5] = np.eye(5)
+    m = m | m.T
+    cells = spark.createDataFrame([(1, int(i), int(j)) for i, j in zip(*np.nonzero(m))], "seq_id long, i int, j int")
+    spans = spark.createDataFrame([(1, k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))], "seq_id long, seg int, start int, end int")
+    scores = structure.diagonal_scores(cells, spans, ["seq_id"])
+    got = {(r.a, r.b): r.score for r in scores.collect()}
+    for a in range(4):
+        for b in range(4):
+            both = [m[bounds[x] : bounds[x + 1], bounds[y] : bounds[y + 1]].tolist() for x, y in ((a, b), (b, a))]
+            assert got.get((a, b), 0.0) == pytest.approx(sum(map(plain_diagonal, both)) / 2)
+    rows = [(1, 0, 0, 1.0), (1, 0, 2, 1.0), (1, 2, 0, 1.0), (1, 2, 2, 1.0), (1, 1, 1, 0.4), (1, 4, 4, 1.5), (1, 3, 4, 1.2), (1, 4, 3, 1.2)]
+    five = spark.createDataFrame([(1, k, k, k + 1) for k in range(5)], "seq_id long, seg int, start int, end int")
+    named = structure.repeat_names(spark.createDataFrame(rows, "seq_id long, a int, b int, score double"), five, ["seq_id"])
+    assert [r.label for r in named.orderBy("seg").collect()] == [1, 0, 1, 4, 4]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session)
+    Context.master = "local[4]"
+    assert session.checkpoint_dir(Session) == session.checkpoint_dir(Session)
 
 
 def test_label_file(spark, tmp_path):
