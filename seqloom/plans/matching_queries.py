@@ -10,12 +10,15 @@ from ..sources import sequences
 from .catalog import register
 from .index_queries import PATTERN_SCAN
 from .machine_sql import COSINE, automaton_ctes, embedding_frames
-from .vector_queries import COSINE_THRESHOLD, EMBEDDING, chroma, embedding_index
+from .vector_queries import COSINE_THRESHOLD, EMBEDDING, chroma, embedding_index, fold_sql
 
 REVERSED = automaton_ctes(
     embedding_frames([COSINE_THRESHOLD]).replace("ORDER BY vec_id)", "ORDER BY vec_id DESC)"), COSINE
 )
-LABELS = 10  # the embeddings carry the labels 0..9
+# labels with their rank, and the label before each one in a circle
+RANKED = """nb AS (SELECT label::BIGINT AS own, row_number() OVER (ORDER BY label) - 1 AS r, count(*) OVER () AS size
+  FROM (SELECT DISTINCT label FROM embeddings)),
+pv AS (SELECT x.own, y.own AS prev FROM nb x JOIN nb y ON y.r = (x.r + x.size - 1) % x.size)"""
 
 
 def _matched(fn, ahead=(1,)):
@@ -23,10 +26,7 @@ def _matched(fn, ahead=(1,)):
 
     def run(spark, sf_dir):
         frames = sequences.embedding_frames(spark, sf_dir)
-        shift = F.explode(F.array(*[F.lit(a) for a in ahead]))
-        pairs = frames.select(F.col("seq_id").alias("obs_id")).distinct().select("obs_id", shift.alias("a"))
-        pairs = pairs.select("obs_id", ((F.col("obs_id") + F.col("a")) % LABELS).alias("seq_id"))
-        return fn(embedding_index(spark, sf_dir), frames, frames, pairs)
+        return fn(embedding_index(spark, sf_dir), frames, frames, sequences.meetings(frames, ahead))
 
     return run
 
@@ -73,11 +73,13 @@ cand AS (
     SELECT f.seq_id, p, f.lab, mem, {base} AS base
     FROM (SELECT seq_id, sfx, lab, trn, unnest(range(1, len(sfx)))::INTEGER AS p FROM fin) f JOIN mb USING (seq_id))
 ),
+{RANKED},
 ob AS (
-  SELECT label::BIGINT AS obs_id, (label + a) % {LABELS} AS seq_id, chunk, list(e ORDER BY vec_id) AS q FROM (
+  SELECT o.own AS obs_id, m.own AS seq_id, chunk, list(e ORDER BY vec_id) AS q FROM (
     SELECT *, {parts}, unnest({ahead}) AS a FROM (
       SELECT label, vec_id, embedding::DOUBLE[] AS e,
-        row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)) GROUP BY ALL
+        row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)) v
+  JOIN nb o ON o.own = v.label JOIN nb m ON m.r = (o.r + a) % o.size GROUP BY ALL
 ),
 wk AS (
   {first}
@@ -204,11 +206,11 @@ register(
 
 # -- hidden-Markov recognition ---------------------------------------------------------
 
-CHROMA_THRESHOLD = 0.3
+CHROMA_THRESHOLD = 0.06
 CHROMA = automaton_ctes(
     f"""sq AS (
   SELECT label::BIGINT AS seq_id, {CHROMA_THRESHOLD} AS thr, count(*) AS n,
-    list(list_transform(embedding[1:12]::DOUBLE[], lambda v: abs(v)) ORDER BY vec_id) AS x
+    list({fold_sql('embedding::DOUBLE[]')} ORDER BY vec_id) AS x
   FROM embeddings GROUP BY label)""",
     COSINE,
 )
@@ -228,10 +230,17 @@ def _medians(spark, sf_dir):
     return hmm.cluster_medians(chroma_index(frames), frames)
 
 
+def on_model_before(frames, known):
+    """Frames of every sequence under the id of the one before it among the ``known``."""
+    before = sequences.meetings(known, (-1,)).withColumnRenamed("seq_id", "before")
+    met = frames.withColumnRenamed("seq_id", "obs_id").join(before, "obs_id")
+    return met.withColumnRenamed("before", "seq_id").drop("obs_id")
+
+
 def _recognition(spark, sf_dir):
     """Every label's chroma frames scored on the next label's model."""
     frames = chroma_frames(spark, sf_dir)
-    obs = frames.withColumn("seq_id", (F.col("seq_id") + LABELS - 1) % LABELS)
+    obs = on_model_before(frames, frames)
     return hmm.recognition(chroma_index(frames), frames, obs, order=1)
 
 
@@ -259,8 +268,9 @@ register(
     f"""{CHROMA}, {MEDIANS}, {LOG_A},
     mn AS (SELECT seq_id, label, list((med + 2.220446049250313e-16) / s ORDER BY dim) AS mean FROM (
       SELECT *, sum(med + 2.220446049250313e-16) OVER (PARTITION BY seq_id, label) AS s FROM md) GROUP BY ALL),
+    {RANKED},
     em AS (SELECT mn.seq_id, o.t, label, ln(list_dot_product(mean, o.x)) AS e FROM mn JOIN (
-      SELECT (seq_id + 9) % 10 AS seq_id, unnest(range(1, n + 1)) AS t, unnest(x) AS x FROM sq) o
+      SELECT prev AS seq_id, unnest(range(1, n + 1)) AS t, unnest(x) AS x FROM sq JOIN pv ON pv.own = sq.seq_id) o
       ON o.seq_id = mn.seq_id),
     et AS (SELECT seq_id, t, list(e ORDER BY label) AS e FROM em GROUP BY ALL),
     cols AS (SELECT seq_id, list(col ORDER BY j) AS cols FROM lm GROUP BY ALL),

@@ -15,20 +15,16 @@ from ..streaming import live
 from .catalog import register
 from .index_queries import FO, IR_SQL
 from .machine_sql import COSINE, WORDS, automaton_ctes
-from .matching_queries import LABELS, LOG_A, MEDIANS, chroma_frames
+from .matching_queries import LOG_A, MEDIANS, RANKED, chroma_frames, on_model_before
+from .vector_queries import fold_sql
 
-GRID = threshold_grid(0.1, 0.6, 0.05)
-
-
-def _observations(frames):
-    """Every label's frames, to be followed on the previous label's model."""
-    return frames.withColumn("seq_id", (F.col("seq_id") + LABELS - 1) % LABELS)
+GRID = threshold_grid(0.02, 0.12, 0.01)
 
 
 def _track(rule, decay):
     def run(spark, sf_dir):
         frames = chroma_frames(spark, sf_dir)
-        return tracker.track(tracker.fit(frames, GRID), _observations(frames), decay, rule)
+        return tracker.track(tracker.fit(frames, GRID), on_model_before(frames, frames), decay, rule)
 
     return run
 
@@ -44,9 +40,10 @@ def _stream(spark, sf_dir, table):
 
 
 def _track_stream(spark, sf_dir):
-    models = tracker.fit(chroma_frames(spark, sf_dir), GRID)
+    known = chroma_frames(spark, sf_dir)
+    models = tracker.fit(known, GRID)
     obs = chroma_frames(spark, sf_dir, _stream(spark, sf_dir, "embeddings"))
-    flat = _observations(obs).select("seq_id", F.col("ord.vec_id").alias("pos"), "item")
+    flat = on_model_before(obs, known).select("seq_id", F.col("ord.vec_id").alias("pos"), "item")
     return live.run_available(live.track_stream(flat, models), *_live_dirs(spark))
 
 
@@ -65,7 +62,7 @@ def _own_thresholds(text):
 
 SOURCE = f"""sq AS (
   SELECT label::BIGINT AS seq_id, g.thr, count(*) AS n,
-    list(list_transform(embedding[1:12]::DOUBLE[], lambda v: abs(v)) ORDER BY vec_id) AS x
+    list({fold_sql('embedding::DOUBLE[]')} ORDER BY vec_id) AS x
   FROM embeddings, (VALUES {", ".join(f"({t!r}::DOUBLE)" for t in GRID)}) g(thr) GROUP BY label, g.thr)"""
 MODEL = f"""{automaton_ctes(SOURCE, COSINE)}, {WORDS},
 best AS (
@@ -78,10 +75,11 @@ cols AS (SELECT seq_id, list(col ORDER BY j) AS cols FROM lm GROUP BY ALL),
 mb AS (SELECT seq_id, list(m ORDER BY label) AS mem FROM (
   SELECT seq_id, label, list(state ORDER BY state) AS m FROM bt WHERE state > 0 GROUP BY ALL) GROUP BY seq_id),
 mv AS (SELECT seq_id, label, list(med ORDER BY dim) AS med FROM md GROUP BY ALL),
+{RANKED},
 em AS (
   SELECT seq_id, t, list(ln((2 - list_cosine_distance(med, o.x) + 2.220446049250313e-16) / 2) ORDER BY label) AS e
-  FROM mv JOIN (SELECT (seq_id + {LABELS - 1}) % {LABELS} AS seq_id, unnest(range(1, n + 1)) AS t, unnest(x) AS x
-                FROM bq) o USING (seq_id) GROUP BY ALL)"""
+  FROM mv JOIN (SELECT prev AS seq_id, unnest(range(1, n + 1)) AS t, unnest(x) AS x
+                FROM bq JOIN pv ON pv.own = bq.seq_id) o USING (seq_id) GROUP BY ALL)"""
 
 
 def follow_sql(rule, decay):

@@ -19,8 +19,15 @@ from .machine_sql import ABS, COSINE, EUCLIDEAN, WORDS, automaton_ctes, embeddin
 
 PAIR = """(SELECT a.vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b
            FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) p"""
-CHROMA = """(SELECT vec_id, list_transform(a[1:12], lambda x: abs(x)) AS a,
-                    list_transform(b[1:12], lambda x: abs(x)) AS b FROM {pair})""".format(pair=PAIR)
+
+
+def fold_sql(vec: str) -> str:
+    """All components without sign, summed into 12 bins by their place."""
+    bin_ = f"list_sum(list_transform(range(p + 1, len({vec}) + 1, 12), lambda i: abs(({vec})[i])))"
+    return f"list_transform(range(0, 12), lambda p: {bin_})"
+
+
+CHROMA = f"(SELECT vec_id, {fold_sql('a')} AS a, {fold_sql('b')} AS b FROM {PAIR})"
 
 
 def _pairs(spark, sf_dir):
@@ -32,8 +39,12 @@ def _pairs(spark, sf_dir):
 
 
 def chroma(vec) -> F.Column:
-    """The first 12 components without sign, in place of a chroma vector."""
-    return F.transform(F.slice(vec, 1, 12), F.abs)
+    """All components without sign, summed into 12 bins by their place, as a chroma vector."""
+
+    def total(p):
+        return F.aggregate(F.filter(vec, lambda _, i: i % 12 == p), F.lit(0.0), lambda s, v: s + F.abs(v))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(11)), total)
 
 
 def _chroma_pairs(spark, sf_dir):
@@ -115,7 +126,7 @@ register(
     """SELECT vec_id, 2 - r AS "rank", p + 60 AS pitch FROM (
          SELECT vec_id, p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, p DESC) - 1 AS r FROM (
            SELECT vec_id, unnest(range(0, 12)) AS p,
-             unnest(list_transform(embedding[1:12]::DOUBLE[], lambda v: abs(v))) AS x FROM embeddings))
+             unnest(""" + fold_sql("embedding::DOUBLE[]") + """) AS x FROM embeddings))
        WHERE r < 3""",
     ints=["vec_id", "rank", "pitch"],
 )

@@ -8,6 +8,7 @@ leave the scan.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,17 @@ def reverse(seqs: DataFrame, longest: int | None = None) -> DataFrame:
     return number(seqs, longest).select("seq_id", F.struct((-F.col("pos")).alias("pos")).alias("ord"), "item")
 
 
+def meetings(seqs: DataFrame, ahead=(1,)) -> DataFrame:
+    """Pairs ``obs_id, seq_id``: every sequence and those ``ahead`` of it in the order of ids, in a circle."""
+    line = W.orderBy("seq_id")  # one row per sequence
+    ranked = seqs.select("seq_id").distinct().withColumn("r", F.row_number().over(line) - 1)
+    shift = F.explode(F.array(*[F.lit(a) for a in ahead])).alias("a")
+    n = F.count(F.lit(1)).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    asked = ranked.withColumn("n", n).select(F.col("seq_id").alias("obs_id"), "r", "n", shift)
+    asked = asked.select("obs_id", F.pmod(F.col("r") + F.col("a"), F.col("n")).cast("int").alias("r"))
+    return asked.join(ranked, "r").select("obs_id", "seq_id")
+
+
 def lengths(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
 
