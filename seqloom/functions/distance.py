@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _zip_sum(a, b, fn):
@@ -150,8 +152,8 @@ _PAIRWISE = {
     "euclidean": lambda p, q: np.sqrt(((p - q) ** 2).sum(axis=1)),
     "cityblock": lambda p, q: np.abs(p - q).sum(axis=1),
     "chebyshev": lambda p, q: np.abs(p - q).max(axis=1),
-    "cosine": lambda p, q: 1.0 - q @ p,
-    "correlation": lambda p, q: 1.0 - q @ p,
+    "cosine": lambda p, q: 1.0 - (p * q).sum(axis=1),
+    "correlation": lambda p, q: 1.0 - (p * q).sum(axis=1),
     "canberra": _np_canberra,
     "braycurtis": lambda p, q: _np_ratio(np.abs(p - q).sum(axis=1), np.abs(p + q).sum(axis=1)),
     "hamming": lambda p, q: (p != q).mean(axis=1),
@@ -166,16 +168,33 @@ def row_metric(metric, x: np.ndarray):
     """
     if callable(metric):
         return lambda i, rows: np.asarray(metric(x[i], x[rows]), dtype=float)
+    x, pair = _prepared(metric, x), _PAIRWISE[metric]
+    return lambda i, rows: pair(x[i], x[rows])
+
+
+def _prepared(metric, x: np.ndarray) -> np.ndarray:
     if metric not in _PAIRWISE:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(_PAIRWISE)}")
     if metric == "correlation":
         x = x - x.mean(axis=1, keepdims=True)
     if metric in ("cosine", "correlation"):
         x = _np_unit(x)
-    if metric == "tonnetz":
-        x = _np_tonnetz(x)
-    pair = _PAIRWISE[metric]
-    return lambda i, rows: pair(x[i], x[rows])
+    return _np_tonnetz(x) if metric == "tonnetz" else x
+
+
+def pair_distance(metric):
+    """Distance of two frame columns, row by row, with the arithmetic of ``row_metric``."""
+
+    @F.arrow_udf(T.DoubleType())
+    def pairs(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) for c in (a, b))
+        if not len(x):
+            return pa.array([], pa.float64())
+        if callable(metric):
+            return pa.array([float(np.asarray(metric(p, q[None]), dtype=float)[0]) for p, q in zip(x, y)], pa.float64())
+        return pa.array(_PAIRWISE[metric](_prepared(metric, x), _prepared(metric, y)), pa.float64())
+
+    return pairs
 
 
 def _np_tonnetz(x):

@@ -8,7 +8,7 @@ the join rounds of :mod:`seqloom.operators.rounds`, whose tasks never hold a seq
 from __future__ import annotations
 
 from array import array
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ class Index:
     ``states`` has ``keys`` plus ``state, sfx, lrs, label, prev_label, word, word_end, trn``:
     ``label`` numbers the clusters by first appearance, ``word``/``word_end`` bound the
     parsed word (``word < state <= word_end``) and ``trn`` lists the forward links.
+    It is a written table, so its many readers do not link the sequences again.
     State 0 has a null suffix and label.  ``longest`` is the largest state number;
     ``sources`` are the sequences the table came from.
     """
@@ -49,10 +50,6 @@ class Index:
     sources: DataFrame | None = None
     params: tuple = ()
 
-    def written(self) -> Index:
-        """The same index with its states in a table, for readers of several columns of it."""
-        return replace(self, states=cut(self.states))
-
     @property
     def frames(self) -> DataFrame:
         """The states that stand for items (all but state 0)."""
@@ -105,14 +102,14 @@ def build_index(
     keys = ("seq_id", "threshold") if sweep else ("seq_id",)
     params = (kind, threshold, metric, method)
     if longest <= limit:
-        return Index(_packed(seqs, keys, *params), keys, longest, seqs, params)
+        return Index(cut(_packed(seqs, keys, *params)), keys, longest, seqs, params)
 
     from .rounds import link_by_rounds
 
     sized = seqs.join(sequences.lengths(seqs), "seq_id")
     short, long = (sized.where(c).drop("n") for c in (F.col("n") <= limit, F.col("n") > limit))
     states = _packed(short, keys, *params).unionByName(link_by_rounds(long, keys, *params))
-    return Index(states, keys, longest, seqs, params)
+    return Index(cut(states), keys, longest, seqs, params)
 
 
 def _packed(seqs, keys, kind, threshold, metric, method) -> DataFrame:
@@ -179,11 +176,35 @@ def _ints(values: array) -> np.ndarray:
 
 
 def save_index(index: Index, path: str) -> None:
-    """Write the states as parquet, the sequences' keys kept as columns."""
-    index.states.write.mode("overwrite").parquet(path)
+    """Write the states, the sequences they came from and the parameters as parquet below ``path``.
+
+    A metric that is a function cannot be saved; give it again when reading.
+    """
+    spark = index.states.sparkSession
+    index.states.write.mode("overwrite").parquet(f"{path}/states")
+    if index.sources is not None:
+        index.sources.write.mode("overwrite").parquet(f"{path}/sources")
+    kind, threshold, metric, method = index.params or ("symbolic", 0.0, "euclidean", "inc")
+    own = isinstance(threshold, DataFrame)
+    if own:
+        threshold.select("seq_id", "threshold").write.mode("overwrite").parquet(f"{path}/thresholds")
+    plain = [] if own else [float(t) for t in threshold] if isinstance(threshold, (list, tuple)) else [float(threshold)]
+    sweep = isinstance(threshold, (list, tuple))
+    row = (kind, None if callable(metric) else metric, method, plain, sweep, own, index.longest, index.sources is not None)
+    spark.createDataFrame([row], PARAMETERS).write.mode("overwrite").parquet(f"{path}/parameters")
+
+
+PARAMETERS = (
+    "kind string, metric string, method string, thresholds array<double>, sweep boolean, own boolean, "
+    "longest int, with_sources boolean"
+)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    states = spark.read.parquet(path)
+def read_index(spark: SparkSession, path: str, metric=None) -> Index:
+    """The index that ``save_index`` wrote, complete enough to build on."""
+    states = spark.read.parquet(f"{path}/states")
+    p = spark.read.schema(PARAMETERS).parquet(f"{path}/parameters").first()
+    threshold = p.thresholds if p.sweep else spark.read.parquet(f"{path}/thresholds") if p.own else p.thresholds[0]
     keys = tuple(c for c in ("seq_id", "threshold") if c in states.columns)
-    return Index(states, keys, states.agg(F.max("state")).first()[0] or 0)
+    sources = spark.read.parquet(f"{path}/sources") if p.with_sources else None
+    return Index(states, keys, p.longest, sources, (p.kind, threshold, metric or p.metric, p.method))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources import sequences
 from .automaton import LIMIT, build_index
@@ -18,18 +19,14 @@ from .links import link_symbols
 
 CHUNK = 1000  # contexts that share one rebuilt model inside a task
 
-ANSWER = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("ctx_id", T.LongType()),
-            T.StructField("accepted", T.BooleanType()),
-            T.StructField("state", T.IntegerType()),
-            T.StructField("used", T.IntegerType()),
-            T.StructField("symbols", T.ArrayType(T.StringType())),
-            T.StructField("probs", T.ArrayType(T.DoubleType())),
-        ]
-    )
-)
+
+
+def answer_type(symbol: T.DataType) -> T.ArrayType:
+    fields = [
+        ("ctx_id", T.LongType()), ("accepted", T.BooleanType()), ("state", T.IntegerType()), ("used", T.IntegerType()),
+        ("symbols", T.ArrayType(symbol)), ("probs", T.ArrayType(T.DoubleType())),
+    ]
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 class Model:
@@ -62,7 +59,7 @@ class Model:
         return True, state
 
     def predict(self, context) -> tuple[np.ndarray, int]:
-        """Symbol probabilities (add-one) and how much of the context's end was used."""
+        """Symbol counts, one added to each, and how much of the context's end was used."""
         context = list(context)
         ok, state = self.accept(context)
         while not ok:
@@ -74,19 +71,23 @@ class Model:
             _, state = self.accept(context)
             similar = self._similar(state, len(context))
         counts = 1.0 + self.own[state] + self.below[similar].sum(axis=0)
-        return counts / counts.sum(), len(context)
+        return counts, len(context)
 
     def _similar(self, state, size):
         return [s for s in self.children[state] if self.lrs[s] >= size]
 
     def log_loss(self, test, m_order=None) -> tuple[float, float]:
-        """Mean code length in bits and mean context length over a test sequence."""
+        """Mean code length in bits and mean context length over a test sequence.
+
+        A symbol the model never saw has the share of one that was never counted.
+        """
         bits, lengths, context = 0.0, 0.0, []
         for symbol in test:
-            probs, used = self.predict(context)
+            counts, used = self.predict(context)
             if used < len(context):
                 context = context[-used:]  # an unused context is kept whole
-            bits -= math.log2(probs[self.code[symbol]])
+            code = self.code.get(symbol)
+            bits -= math.log2((1.0 if code is None else counts[code]) / counts.sum())
             context = [*context, symbol]
             if m_order is not None:
                 context = context[-m_order:]
@@ -94,30 +95,28 @@ class Model:
         return bits / len(test), lengths / len(test)
 
 
-@F.arrow_udf(ANSWER)
-def _answers(items: pa.Array, asked: pa.Array) -> pa.Array:
-    out = []
-    for seq, questions in zip(items.to_pylist(), asked.to_pylist()):
-        model, rows = Model(seq), []
-        for q in questions:
-            accepted, state = model.accept(q["context"])
-            probs, used = model.predict(q["context"])
-            rows.append(
-                {
-                    "ctx_id": q["ctx_id"], "accepted": accepted, "state": state, "used": used,
-                    "symbols": model.symbols, "probs": probs.tolist(),
-                }
-            )
-        out.append(rows)
-    shape = pa.list_(
-        pa.struct(
-            [
-                ("ctx_id", pa.int64()), ("accepted", pa.bool_()), ("state", pa.int32()), ("used", pa.int32()),
-                ("symbols", pa.list_(pa.string())), ("probs", pa.list_(pa.float64())),
-            ]
-        )
-    )
-    return pa.array(out, type=shape)
+def _answers(symbol: T.DataType):
+    """Answers on contexts for symbols of any type."""
+    shape = to_arrow_type(answer_type(symbol))
+
+    @F.arrow_udf(answer_type(symbol))
+    def answers(items: pa.Array, asked: pa.Array) -> pa.Array:
+        out = []
+        for seq, questions in zip(items.to_pylist(), asked.to_pylist()):
+            model, rows = Model(seq), []
+            for q in questions:
+                accepted, state = model.accept(q["context"])
+                counts, used = model.predict(q["context"])
+                rows.append(
+                    {
+                        "ctx_id": q["ctx_id"], "accepted": accepted, "state": state, "used": used,
+                        "symbols": model.symbols, "probs": (counts / counts.sum()).tolist(),
+                    }
+                )
+            out.append(rows)
+        return pa.array(out, type=shape)
+
+    return answers
 
 
 def _asked(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def _asked(seqs: DataFrame, contexts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("ctx_id", "context")).alias("asked")
     )
     joined = sequences.spread(chunks.join(sequences.pack(seqs), "seq_id"), "seq_id", "chunk")
-    return joined.select("seq_id", F.inline(_answers("items", "asked")))
+    return joined.select("seq_id", F.inline(_answers(seqs.schema["item"].dataType)("items", "asked")))
 
 
 def _longest(seqs: DataFrame) -> int:

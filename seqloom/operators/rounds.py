@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import distance
+from ..functions.distance import pair_distance
 from ..functions.orbit import orbit
 from ..functions.scan import running
 from ..session import cut
@@ -44,7 +44,9 @@ def _items(seqs: DataFrame, keys, kind, threshold) -> DataFrame:
     items = sequences.number(seqs).withColumnRenamed("pos", "i").withColumnRenamed("item", "x")
     if kind == "symbolic":
         first = items.groupBy("seq_id", "x").agg(F.min("i").alias("first"))
-        named = items.join(first, ["seq_id", "x"]).select("seq_id", "i", F.col("first").alias("x"))
+        first = first.select(F.col("seq_id").alias("of"), F.col("x").alias("symbol"), "first")
+        same = (F.col("seq_id") == F.col("of")) & F.col("x").eqNullSafe(F.col("symbol"))  # a null is a symbol too
+        named = items.join(first, same).select("seq_id", "i", F.col("first").alias("x"))
         return cut(named.withColumn("thr", F.lit(0.0)))
     if isinstance(threshold, DataFrame):
         return cut(items.join(threshold.select("seq_id", F.col("threshold").alias("thr")), "seq_id"))
@@ -119,7 +121,7 @@ def _probe(walkers, targets, by, symbolic, metric) -> DataFrame:
         both = root.unionByName(inner.select(root.columns))
         hit = F.when(F.col("t") < F.col("i"), F.struct(F.lit(0.0).alias("d"), F.col("t").alias("t")))
         return both.withColumn("hit", hit).drop("t")
-    near = walkers.join(targets, [*by, "k"]).where("t < i").withColumn("d", distance("x", "y", metric))
+    near = walkers.join(targets, [*by, "k"]).where("t < i").withColumn("d", pair_distance(metric)("x", "y"))
     # partial aggregation keeps one candidate per state and task, however many targets k has
     hits = near.where("d < thr").groupBy(*by, "i").agg(F.min(F.struct("d", "t")).alias("hit"))
     return walkers.join(hits, [*by, "i"], "left")

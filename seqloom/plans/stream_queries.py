@@ -49,10 +49,8 @@ def _track_stream(spark, sf_dir):
 
 def _grow_stream(spark, sf_dir):
     events = _stream(spark, sf_dir, "events")
-    flat = events.select(
-        F.col("user_id").alias("seq_id"), F.struct("ts", "event_id").alias("ord"), F.col("event_type").alias("item")
-    ).select("seq_id", F.col("ord.ts").alias("pos"), "item")
-    return live.run_available(live.grow_stream(flat), *_live_dirs(spark))
+    flat = events.select(F.col("user_id").alias("seq_id"), "ts", "event_id", F.col("event_type").alias("item"))
+    return live.run_available(live.grow_stream(flat, ["ts", "event_id"]), *_live_dirs(spark))
 
 
 def _own_thresholds(text):

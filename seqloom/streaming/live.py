@@ -54,7 +54,7 @@ TRACKED = T.StructType(
 class _Track(StatefulProcessor):
     """State: the key's model (set once from the fitted models) and the running scores."""
 
-    def __init__(self, order: str, decay: float, rule: str):
+    def __init__(self, order: str | list[str], decay: float, rule: str):
         self.order, self.decay, self.rule = order, decay, rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -69,14 +69,18 @@ class _Track(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         if not self.model.exists():
             raise ValueError(f"no model for stream {key[0]!r}")
         n_labels, med, cells, label = self.model.get()
         cells = [dict(zip(("from", "to", "prob", "unseen"), c)) for c in cells]
         v, frame, t = self.scores.get() if self.scores.exists() else (None, 0, 0)
         follower = Follower(n_labels, med, cells, label, self.decay, self.rule, v, frame)
-        frames = [follower.observe(x) for x in batch["item"]]
+        frames = []
+        for item, anew in zip(batch["item"], batch.get("reset", [False] * len(batch))):
+            if anew:
+                follower = Follower(n_labels, med, cells, label, self.decay, self.rule, None, 0)
+            frames.append(follower.observe(item))
         self.scores.update(([float(s) for s in follower.v], follower.frame, t + len(frames)))
         steps = range(t + 1, t + len(frames) + 1)
         yield pd.DataFrame({"seq_id": key[0], "t": list(steps), "frame": frames})
@@ -86,10 +90,13 @@ class _Track(StatefulProcessor):
 
 
 def track_stream(
-    stream: DataFrame, models: DataFrame, order: str = "pos", decay: float = 1.0, rule: str = "predicted"
+    stream: DataFrame, models: DataFrame, order: str | list[str] = "pos", decay: float = 1.0, rule: str = "predicted"
 ) -> DataFrame:
     """Follow streams ``seq_id, <order>, item`` on fitted models: rows ``seq_id, t, frame``.
 
+    ``order`` is one column or a list of them.  A true value in an optional boolean column
+    ``reset`` starts the scores of its stream anew with that row.
+
     The models enter the state store as initial state, so no task holds all of them and
     a restart finds them with the scores.
     """
@@ -143,7 +150,7 @@ class _Grow(StatefulProcessor):
     larger than a task's memory.
     """
 
-    def __init__(self, order: str):
+    def __init__(self, order: str | list[str]):
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -158,7 +165,7 @@ class _Grow(StatefulProcessor):
         }
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         cells = {name: _Cells(state) for name, state in self.maps.items()}
         sfx, lrs, label, goto, twin, code = cells.values()
         n, fresh = self.size.get() if self.size.exists() else (0, 0)
@@ -191,8 +198,12 @@ class _Grow(StatefulProcessor):
         pass
 
 
-def grow_stream(stream: DataFrame, order: str = "pos") -> DataFrame:
-    """Index symbol streams ``seq_id, <order>, item`` as they arrive: one row per new state."""
+def grow_stream(stream: DataFrame, order: str | list[str] = "pos") -> DataFrame:
+    """Index symbol streams ``seq_id, <order>, item`` as they arrive: one row per new state.
+
+    ``order`` is one column or a list of them; name as many as make the order of a key's
+    rows unique.
+    """
     return stream.groupBy("seq_id").transformWithStateInPandas(_Grow(order), STATE_ROWS, "append", "none")
 
 

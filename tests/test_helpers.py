@@ -232,6 +232,20 @@ def test_shared_folder_is_required_on_a_cluster():
     assert session.checkpoint_dir(Session) == session.checkpoint_dir(Session)
 
 
+def test_prediction_on_numbers_and_unseen_symbols(spark):
+    from math import log2
+
+    from seqloom.operators import predict
+
+    seqs = spark.createDataFrame([(1, (i,), x) for i, x in enumerate([1, 2, 2, 3, 1, 2])], "seq_id long, ord struct<n:int>, item int")
+    contexts = spark.createDataFrame([(1, 0, [1, 2])], "seq_id long, ctx_id long, context array<int>")
+    got = {r.symbol: r.prob for r in predict.predict(seqs, contexts).collect()}
+    assert set(got) == {1, 2, 3} and sum(got.values()) == pytest.approx(1)
+    model = predict.Model([1, 2, 2, 3, 1, 2])
+    counts, _ = model.predict([])
+    assert model.log_loss([9])[0] == pytest.approx(log2(counts.sum()))
+
+
 def test_label_file(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "seq_id long, seg int, line string")
     save_segments(lines, str(tmp_path / "lab"))

@@ -43,3 +43,40 @@ def test_whole_chain_on_frames(spark, one_partition):
     seqs = sequences_of(spark, {1: [[round(rng.random(), 2)] for _ in range(12)]}, "frame")
     options = {"kind": "variable", "threshold": 0.2, "method": "complete"}
     assert rows(build_index(seqs, limit=0, **options)) == rows(build_index(seqs, **options))
+
+
+def test_null_symbols_and_functions_as_metrics(spark, one_partition):
+    seqs = sequences_of(spark, {1: ["a", None, "a", None, "a"]})
+    long = rows(build_index(seqs, limit=0))
+    assert long == rows(build_index(seqs)) and len(long) == 6
+    rng = random.Random(6)
+    frames = sequences_of(spark, {1: [[rng.random(), rng.random(), rng.random()] for _ in range(6)]}, "frame")
+
+    def city(x, others):
+        return abs(others - x).sum(axis=1)
+
+    for metric, threshold in ((city, 0.6), ("cosine", 0.05)):
+        options = {"kind": "variable", "threshold": threshold, "metric": metric}
+        assert rows(build_index(frames, limit=0, **options)) == rows(build_index(frames, **options))
+
+
+def test_saved_index_can_be_built_on(spark, tmp_path):
+    from seqloom.operators.automaton import read_index, save_index
+    from seqloom.operators.matching import reverse_index
+
+    rng = random.Random(2)
+    frames = sequences_of(spark, {1: [[rng.random(), rng.random()] for _ in range(9)]}, "frame")
+    for i, threshold in enumerate((0.3, spark.createDataFrame([(1, 0.4)], "seq_id long, threshold double"))):
+        index = build_index(frames, "variable", threshold, "cityblock", "complete")
+        save_index(index, str(tmp_path / f"ix{i}"))
+        back = read_index(spark, str(tmp_path / f"ix{i}"))
+        assert rows(back) == rows(index) and back.params[2:] == ("cityblock", "complete")
+        assert rows(reverse_index(back, back.sources)) == rows(reverse_index(index, frames))
+
+
+def test_one_linking_step_for_many_readers(spark):
+    from seqloom.operators import similarity
+
+    index = build_index(sequences_of(spark, {1: list("abbcabcdabc")}))
+    plan = similarity.transition(index, "trn")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan

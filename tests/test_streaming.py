@@ -58,3 +58,18 @@ def test_tracking_over_batches(spark, tmp_path, two_partitions):
     followed = live.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     batch = tracker.track(models, sequences_of(spark, {5: frames[3:15]}, "frame"))
     assert sorted(map(tuple, followed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_reset_and_tied_times(spark, tmp_path, two_partitions):
+    rng = random.Random(3)
+    frames = [[rng.random() + 0.1, rng.random() + 0.1] for _ in range(12)]
+    models = tracker.fit(sequences_of(spark, {5: frames}, "frame"), [0.02, 0.1])
+    rows = [(5, i // 2, i % 2, x, again) for again in (False, True) for i, x in enumerate(frames[2:8], 6 * again)]
+    rows = [(s, a, b, x, again and i == 6) for i, (s, a, b, x, again) in enumerate(rows)]
+    rng.shuffle(rows)
+    schema, path = "seq_id long, ts long, event_id long, item array<double>, reset boolean", str(tmp_path / "in")
+    write(spark, rows, schema, path, 1)
+    stream = live.track_stream(read(spark, schema, path), models, ["ts", "event_id"])
+    got = [r.frame for r in sorted(live.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect(), key=lambda r: r.t)]
+    once = [r.frame for r in tracker.track(models, sequences_of(spark, {5: frames[2:8]}, "frame")).orderBy("t").collect()]
+    assert got == once * 2
