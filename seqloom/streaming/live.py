@@ -210,18 +210,14 @@ def grow_stream(stream: DataFrame, order: str | list[str] = "pos") -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over what has arrived and read back its parquet output.
 
-    Keyed state needs the RocksDB store, which is chosen for the time of the run.
+    Keyed state needs the RocksDB store.  It is chosen for the session and stays chosen, so
+    streams that run side by side do not change it under each other.
     """
-    conf = stream.sparkSession.conf
-    before = conf.get(STORE)
-    conf.set(STORE, ROCKSDB)
-    try:
-        query = (
-            stream.writeStream.format("parquet").outputMode("append")
-            .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        conf.set(STORE, before)
+    stream.sparkSession.conf.set(STORE, ROCKSDB)
+    query = (
+        stream.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
