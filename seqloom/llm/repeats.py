@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from .columns import drop_shuffles
 
 BLOCK = 4_000_000  # bytes of text in a block of documents
 CHUNK = 1 << 20  # units looked at together
+LEVEL = 3  # of compression of what blocks and buckets exchange
 PLACE = np.uint64((1 << 28) - 1)  # low bits of an order key: the place of a gram
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, which is smaller than no other
 
@@ -214,12 +216,18 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    """Rows of plain values and blobs; blobs travel and rest compressed."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)
+    columns = [[zstandard.compress(x, LEVEL) for x in c] if f.type == pa.binary() else c for c, f in zip(columns, schema)]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _blobs(table: pa.Table, column: str) -> list[bytes]:
+    return [zstandard.decompress(x) for x in table[column].to_pylist()]
+
+
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+    return np.frombuffer(b"".join(_blobs(table, column)), kind)
 
 
 def seeds(search: Search, buckets: int):
@@ -250,7 +258,7 @@ def shared(table: pa.Table) -> pa.Table:
     _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
     repeated = (count > 1) | (np.bincount(inverse, often, len(count)) > 0)
     keep, rows, at = repeated[inverse], [], 0
-    for block, blob in zip(table["block"].to_pylist(), table["grams"].to_pylist()):
+    for block, blob in zip(table["block"].to_pylist(), _blobs(table, "grams")):
         n = len(blob) // 8
         mine = grams[at : at + n][keep[at : at + n]]
         at += n
@@ -316,10 +324,11 @@ class Sent:
 
     @classmethod
     def of(cls, table: pa.Table) -> Sent:
-        row, start = _joined(table, "rows", np.int32), _joined(table, "starts", np.int64)
+        rows, start = _blobs(table, "rows"), _joined(table, "starts", np.int64)
+        row = np.frombuffer(b"".join(rows), np.int32)
         size = _joined(table, "sizes", np.int32)
         high = np.cumsum(size, dtype=np.int64)
-        block = np.repeat(np.array(table["block"].to_pylist(), np.int32), [len(b) // 4 for b in table["rows"].to_pylist()])
+        block = np.repeat(np.array(table["block"].to_pylist(), np.int32), [len(b) // 4 for b in rows])
         count = _joined(table, "ends", np.int64) - start
         owner, gram = _joined(table, "ids", np.int64), _joined(table, "grams", np.uint64)
         return cls(block, row, start, count, owner, gram, _joined(table, "texts", np.uint8), high - size, high)
