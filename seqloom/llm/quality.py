@@ -138,10 +138,9 @@ def verdict(rules, m: Column) -> Column:
 
 def judge(docs: DataFrame, rules=RULES, text: str = "text", out: str = "quality") -> DataFrame:
     """``docs`` with a struct ``out``: all measures, ``base_failed`` and ``kept``."""
-    measured = docs.withColumn(out, measures(F.col(text)))
-    m = F.col(out)
-    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
-    return measured.withColumn(
-        out,
-        m.withField("base_failed", failed).withField("kept", ~failed & verdict(rules, m)),
-    )
+
+    def judged(m):
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
+        return m.withField("base_failed", failed).withField("kept", ~failed & verdict(rules, m))
+
+    return docs.withColumn(out, let(measures(F.col(text)), judged))  # bound, so a filter on it measures once
