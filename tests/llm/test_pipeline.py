@@ -24,7 +24,7 @@ def table(spark, rows, folder):
 
 
 def test_stages(spark, tmp_path):
-    own = [(i, GOOD + prose(i, 80) + GOOD) for i in range(10, 22)]
+    own = [(i, GOOD + prose(i, 120)) for i in range(10, 22)]
     rows = own + [(30, own[0][1]), (31, own[1][1]), (32, GOOD + prose(99, 50) + " token = 0123456789abcdef0123"), (40, "short"), (41, None)]
     docs = table(spark, rows, tmp_path)
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -31,7 +31,7 @@ def rows_of(name):
         for _ in range(r.randrange(0, 4)):
             w[r.randrange(len(w))] = f"new{r.randrange(99)}"
         rows.append((1000 - i, " ".join(w)))
-    return rows + [(i, prose(i, 200)) for i in range(50)]
+    return rows + [(i, prose(i, 200)) for i in range(1, 51)]
 
 
 @pytest.mark.parametrize("node", [20_000, 5])
