@@ -11,8 +11,8 @@ domain's own curvature, which makes a few steps enough.
 The classifier is a logistic regression over the words that tell the domains apart best
 and a few shares of characters, words and lines.  It is fitted on at most ``LABELLED``
 labelled documents, those with the smallest hash of their id; all other sums run over all
-documents.  Tokens are words.  A
-null text has no words.  Labels with a null are ignored; without usable labels, or with one
+documents.  Tokens are the terms between
+blanks and punctuation.  A null text has none.  Labels with a null are ignored; without usable labels, or with one
 domain only, every posterior is that domain's share among the labels, or uniform.  Repeated
 rows are documents of their own, with one label per id (the largest on ties); extra columns
 pass through; an empty table gives an empty result.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .columns import let, small_batches, words
+from .columns import let, small_batches
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
@@ -43,8 +43,7 @@ ROUNDS, SMOOTH = 30, 1e-3
 SHARES = ("_upper", "_marks", "_digits", "_variety", "_lines", "_size")
 STEPS, CLOSE = 40, 1e-4  # most steps, and the relative change of the sums that ends them
 FULL = 1.02  # budget over what the documents of the heaviest domain hold, so they stay whole
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MARKS = "#*$%&|<>!"
+MARKS = "[#*$%&|<>!]"
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -55,15 +54,15 @@ def _described(docs: DataFrame, text: str) -> DataFrame:
     """Word terms and a few shares by which the classifier judges."""
     plain = F.coalesce(F.col(text), F.lit(""))
     size = F.greatest(F.length(plain), F.lit(1))
-    terms = F.filter(F.split(F.lower(plain), r"[\s\p{Punct}]+"), lambda w: w != "")
+    terms = F.array_remove(F.split(F.lower(plain), r"[\s\p{Punct}]+"), "")
 
-    def share(chars):
-        return (F.length(plain) - F.length(F.translate(plain, chars, ""))) / size
+    def share(pattern):
+        return F.regexp_count(plain, F.lit(pattern)) / size
 
     def distinct(values):
         return F.size(F.array_distinct(values)) / F.greatest(F.size(values), F.lit(1))
 
-    described = docs.withColumns({"_terms": terms, "_upper": share(UPPER), "_marks": share(MARKS), "_digits": share("0123456789")})
+    described = docs.withColumns({"_terms": terms, "_upper": share("[A-Z]"), "_marks": share(MARKS), "_digits": share("[0-9]")})
     return described.withColumns(
         {
             "_variety": let(F.col("_terms"), distinct),
@@ -88,7 +87,7 @@ def _telling_words(rows: DataFrame, sizes: dict[int, int], most: int) -> list[st
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", labelled: int = LABELLED):
-    """A function from documents to documents with a column ``posteriors``."""
+    """A function from documents to documents with columns ``tokens`` and ``posteriors``."""
     docs = docs.select(F.col(key).alias("_key"), text)
     usable = labels.select(F.col(key).alias("_id"), domain_of(F.col("quality"), F.col("toxic")).alias("_domain"), "quality", "toxic")
     usable = usable.where("_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
@@ -99,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sizes = {r["_domain"]: r["count"] for r in rows.groupBy("_domain").count().orderBy("_domain").collect()}
     if len(sizes) < 2:
         flat = [1.0 if d in sizes else 0.0 for d in range(len(DOMAINS))] if sizes else [1.0 / len(DOMAINS)] * len(DOMAINS)
-        return lambda df: df.withColumn("posteriors", F.array(*[F.lit(p) for p in flat]))
+        tokens = F.size("_terms").cast("long").alias("tokens")
+        return lambda df: _described(df, text).select(*df.columns, tokens, F.array(*[F.lit(p) for p in flat]).alias("posteriors"))
     known = _telling_words(rows, sizes, TELLING) or ["the"]
     counted = CountVectorizerModel.from_vocabulary(known, inputCol="_terms", outputCol="_words")
     counted.setBinary(True)
@@ -114,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         done = model.transform(assembled.transform(counted.transform(_described(df, text))))
         given = vector_to_array("_p")
         full = F.concat(given, F.array_repeat(F.lit(0.0), len(DOMAINS) - classes)) if classes < len(DOMAINS) else given
-        return done.withColumn("posteriors", full).select(*df.columns, "posteriors")
+        tokens = F.size("_terms").cast("long").alias("tokens")
+        return done.withColumn("posteriors", full).select(*df.columns, tokens, "posteriors")
 
     return score
 
@@ -188,9 +189,7 @@ def _prepared(docs, labels, weights, budget, text, key, labelled):
     """The scoring function, the written narrow table of its results and the steps solved on it."""
     small_batches(docs.sparkSession)
     score = fit(docs, labels, text, key, labelled)
-    tokens = F.size(words(F.col(text))).cast("long")
-    rows = score(docs.select(F.col(key).alias("_key"), text))
-    scored = cut(rows.select("_key", tokens.alias("tokens"), "posteriors"))
+    scored = cut(score(docs.select(F.col(key).alias("_key"), text)).select("_key", "tokens", "posteriors"))
     return score, scored, solve(scored, weights, budget)[0]
 
 
