@@ -35,7 +35,7 @@ from .components import components
 SHINGLE, SEED = 4, 42
 BUDGET = 4
 NODE = 20_000  # fingerprints of a trie node that one task walks
-CHUNK = 1 << 20  # pairs of nodes, and shingles, held at once
+CHUNK = 1 << 18  # pairs of nodes, and shingles, held at once
 LEAF = 32  # pairs of fingerprints compared directly
 
 
