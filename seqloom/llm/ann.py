@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ from .columns import partitions, small_batches
 SAMPLE = 20_000  # vectors the centroids are fitted on, at most
 LIST = 500  # vectors of a list before replication
 COPIES, NEAR = 4, 1.15  # lists of a boundary vector, and how much farther they may be
-RATIO = 1.09  # distance ratio within which a query visits lists
+RATIO = 1.08  # distance ratio within which a query visits lists
 VECTORS, QUERIES = 4096, 2048  # of one block of a list
 DEGREE, LONG = 12, 4  # near and far links of a centroid
-BEAM = 48
+BEAM, ENOUGH = 48, 16  # centroids kept on the way: for queries, and for the few lists of a vector
 
 
 @dataclass
@@ -148,7 +149,7 @@ def assign(graph: Graph, longest: float, queries: bool):
                 ids, dist = graph.within(lift(x * (longest / np.sqrt((x**2).sum(1)))[:, None], longest), RATIO)
                 near = dist <= RATIO * dist[:, :1]
             else:
-                ids, dist = graph.search(lift(x, longest), BEAM)
+                ids, dist = graph.search(lift(x, longest), ENOUGH)
                 ids, dist = ids[:, :COPIES], dist[:, :COPIES]
                 near = dist <= NEAR * dist[:, :1]
             row, at = np.nonzero(near & (ids >= 0))
@@ -163,14 +164,14 @@ def _best(k: int):
     """The ``k`` best of one block of a list for each of its queries."""
 
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        asked, near, scores = [], [], []
         if vectors.num_rows and queries.num_rows:
             ids, x = vectors["id"].to_numpy(), _matrix(vectors["vec"])
             ids, first = np.unique(ids, return_index=True)
             x = x[first]
-            parts = [_top(ids, x, q_id, q, k) for q_id, q in zip(queries["id"].to_numpy(), _matrix(queries["vec"]))]
-            found = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+            asked = queries["id"].to_pylist()
+            near, scores = zip(*[_top(ids, x, q_id, q, k) for q_id, q in zip(asked, _matrix(queries["vec"]))])
+        return pa.table({"query_id": asked, "near": near, "scores": scores}, schema=FOUND)
 
     return search
 
@@ -186,15 +187,19 @@ def _top(ids, x, q_id, q, k):
         keep = np.flatnonzero(ids != q_id)
     score = (x[keep] * q).sum(1)
     order = np.lexsort((ids[keep], -score))[:k]
-    return np.full(len(order), q_id), ids[keep][order], score[order]
+    return ids[keep][order], score[order]
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("near", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
 
 def _merge(k: int):
     """Ranks over what the blocks of a query's lists found; a neighbour in two lists counts once."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-        q, v, s = (rows[c].to_numpy() for c in ("query_id", "vec_id", "score"))
+        rows = pa.Table.from_batches(list(batches), FOUND)
+        q = np.repeat(rows["query_id"].to_numpy(), pc.list_value_length(rows["near"]).to_numpy())
+        v, s = (pc.list_flatten(rows[c]).to_numpy() for c in ("near", "scores"))
         order = np.lexsort((v, -s, q))
         q, v, s = q[order], v[order], s[order]
         new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])][: len(q)]
@@ -241,6 +246,6 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     found = (
         dealt(posts, "v", "q").groupBy(*keys)
         .cogroup(dealt(visits, "q", "v").groupBy(*keys))
-        .applyInArrow(_best(k), "query_id long, vec_id long, score double")
+        .applyInArrow(_best(k), "query_id long, near array<long>, scores array<double>")
     )
     return found.repartition(partitions(spark), "query_id").mapInArrow(_merge(k), schema)
