@@ -5,7 +5,9 @@ distance.  Centroids come from a bounded sample (``SAMPLE`` vectors) by splittin
 largest cluster at its median until the lists have their size, so lists stay balanced.  A
 graph of near centroids, held in every task, is searched best-first.  A vector goes to its
 nearest list and, as a boundary vector, to further lists that are nearly as near; a query
-visits all lists within a ratio of its smallest distance.  Lists and their queries are cut
+visits all lists within a ratio of its smallest distance.  The ratio belongs to the table:
+a bounded sample of queries is compared with every vector, and the ratio is the least that
+leads the sample to its share ``REACH`` of true neighbours.  Lists and their queries are cut
 into blocks of bounded size, so a list that holds a third of all rows is many tasks, and a
 task returns no more than ``k`` neighbours per query.  Scores are computed anew in
 double precision on the original vectors.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -33,10 +36,11 @@ from .columns import partitions, small_batches
 SAMPLE = 20_000  # vectors the centroids are fitted on, at most
 LIST = 500  # vectors of a list before replication
 COPIES, NEAR = 4, 1.15  # lists of a boundary vector, and how much farther they may be
-RATIO = 1.08  # distance ratio within which a query visits lists
+RATIO = 1.09  # least distance ratio within which a query visits lists
+PROBES, REACH = 200, 0.96  # queries compared with all vectors, and the share of their neighbours the ratio reaches
 VECTORS, QUERIES = 4096, 2048  # of one block of a list
 DEGREE, LONG = 12, 4  # near and far links of a centroid
-BEAM, ENOUGH = 48, 16  # centroids kept on the way: for queries, and for the few lists of a vector
+BEAM = 48  # centroids kept on the way
 
 
 @dataclass
@@ -80,13 +84,25 @@ class Graph:
             done[rows, best] = True
             fresh, again = _once(self.links[np.where(open_.any(1), ids[rows, best], self.entries[0])])
 
-    def within(self, x: np.ndarray, ratio: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """All lists no farther than ``ratio`` times the nearest: a wider beam until it holds them."""
-        while True:
+    def within(self, x: np.ndarray, ratio: float, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of every row, and which lie within ``ratio`` times its smallest distance (``least`` at least).
+
+        The beam widens until it holds them; from a quarter of the centroids on, all are measured.
+        """
+        while 4 * beam < len(self.centroids):
             ids, dist = self.search(x, beam)
-            if beam >= len(self.centroids) or (dist[:, -1] > ratio * dist[:, 0]).all():
-                return ids, dist
+            reach = ratio * np.maximum(dist[:, :1], least)
+            if (dist[:, -1:] > reach).all():
+                return ids, dist <= reach
             beam *= 2
+        dist = self.distances(x)
+        ids = np.broadcast_to(np.arange(len(self.centroids)), dist.shape)
+        return ids, dist <= ratio * np.maximum(dist.min(1, keepdims=True), least)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """From every row to every centroid."""
+        square = (x**2).sum(1)[:, None] + (self.centroids**2).sum(1)
+        return np.sqrt(np.maximum(square - 2 * x @ self.centroids.T, 0))
 
 
 def _once(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,19 +153,23 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def assign(graph: Graph, longest: float, queries: bool):
-    """Rows ``list, id, vec`` for every list that a vector, or a query, belongs to."""
+def aimed(x: np.ndarray, longest: float) -> np.ndarray:
+    """Queries lifted; only directions matter, so all are as long as the longest vector."""
+    return lift(x * (longest / np.sqrt((x**2).sum(1)))[:, None], longest)
+
+
+def assign(graph: Graph, longest: float, reach: tuple[float, float] | None = None):
+    """Rows ``list, id, vec`` for every list that a vector, or with ``reach`` a query, belongs to."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch["vec"])
-            if queries:  # only directions matter: as long as the longest vector
-                ids, dist = graph.within(lift(x * (longest / np.sqrt((x**2).sum(1)))[:, None], longest), RATIO)
-                near = dist <= RATIO * dist[:, :1]
+            if reach:
+                ids, near = graph.within(aimed(x, longest), *reach)
             else:
-                ids, dist = graph.search(lift(x, longest), ENOUGH)
+                ids, dist = graph.search(lift(x, longest), BEAM)
                 ids, dist = ids[:, :COPIES], dist[:, :COPIES]
                 near = dist <= NEAR * dist[:, :1]
             row, at = np.nonzero(near & (ids >= 0))
@@ -160,6 +180,49 @@ def assign(graph: Graph, longest: float, queries: bool):
     return place
 
 
+def _probe(q_ids: np.ndarray, q: np.ndarray, ratios: np.ndarray, k: int):
+    """Rows ``q, id, score, ratio`` of each probe's best of a task; ``ratio`` leads it to that row's list."""
+    most = k * COPIES  # a vector has a row in each of its lists
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, score, ratio = (np.empty((len(q), 0), t) for t in (np.int64, float, float))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch["id"].to_numpy()
+            own_score = q @ _matrix(batch["vec"]).T
+            own_score[own == q_ids[:, None]] = -np.inf
+            score = np.hstack([score, own_score])
+            ids = np.hstack([ids, np.broadcast_to(own, own_score.shape)])
+            ratio = np.hstack([ratio, ratios[:, batch["list"].to_numpy()]])
+            if score.shape[1] > most:
+                best = np.argpartition(score, -most, axis=1)[:, -most:]
+                ids, score, ratio = (np.take_along_axis(a, best, 1) for a in (ids, score, ratio))
+        row, at = np.nonzero(score > -np.inf)
+        columns = [pa.array(row.astype(np.int32)), *[pa.array(a[row, at]) for a in (ids, score, ratio)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["q", "id", "score", "ratio"])
+
+    return probe
+
+
+def fitted(posts: DataFrame, asked: DataFrame, graph: Graph, longest: float, k: int) -> tuple[float, float]:
+    """The ratio that leads ``PROBES`` queries to ``REACH`` of their true neighbours, and the least distance it is taken of."""
+    rows = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toArrow()
+    if not rows.num_rows:
+        return RATIO, 0.0
+    q_ids, q = rows["vec_id"].to_numpy(), _matrix(rows["vec"])
+    dist = graph.distances(aimed(q, longest))
+    nearest_list = dist.min(1, keepdims=True)
+    least = max(nearest_list.mean() / 2, 1e-3 * longest)  # a query on a centroid still looks around
+    ratios = dist / np.maximum(nearest_list, least)
+    seen = posts.mapInArrow(_probe(q_ids, q, ratios, k), "q int, id long, score double, ratio double")
+    seen = seen.groupBy("q", "id").agg(F.max("score").alias("score"), F.min("ratio").alias("ratio"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
+    true = seen.withColumn("rank", rank).where(F.col("rank") <= k).select("ratio").toArrow()["ratio"].to_numpy()
+    wanted = np.quantile(true, REACH, method="higher") * (1 + 1e-9) if len(true) else RATIO
+    return max(RATIO, float(wanted)), float(least)
+
+
 def _best(k: int):
     """The ``k`` best of one block of a list for each of its queries."""
 
@@ -230,8 +293,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
 
     asked = usable(queries, key, vector).where(F.size("vec") == width)
     placed = "list int, id long, vec array<double>"
-    posts = cut(vectors.mapInArrow(assign(graph, longest, False), placed))
-    visits = cut(asked.mapInArrow(assign(graph, longest, True), placed))
+    posts = cut(vectors.mapInArrow(assign(graph, longest), placed))
+    visits = cut(asked.mapInArrow(assign(graph, longest, fitted(posts, asked, graph, longest, k)), placed))
     blocks = (
         posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("v"))
         .join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q")), "list")

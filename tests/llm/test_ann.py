@@ -56,6 +56,20 @@ def test_recall(spark, monkeypatch, kind):
         assert got[0] == want[0]  # copies tie and the smaller ids win
 
 
+def test_recall_holds_where_lists_are_many(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 8)  # a fixed ratio of 1.08 finds 0.22 here
+    x = np.random.default_rng(5).normal(size=(12_000, 64))
+    x = (x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.float32)
+    df = table(spark, list(enumerate(x)))
+    got = found(ann.nearest(df, df.where("vec_id % 60 = 0"), 20))
+    hits = 0
+    for q in range(0, len(x), 60):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.93 * 20 * 200
+
+
 def test_odd_vectors_take_no_part(spark):
     good = [(i, [1.0, i / 10, 0.5]) for i in range(6)]
     odd = [(7, None), (8, [0.0, 0.0, 0.0]), (9, [1.0, None, 2.0]), (10, [1.0, float("nan"), 1.0]),
