@@ -39,14 +39,14 @@ CHUNK = 1 << 18  # pairs of nodes, and shingles, held at once
 LEAF = 32  # pairs of fingerprints compared directly
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and blanks only
     if not words:
         return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    ends = ends.tolist()[SHINGLE - 1 :] or [len(line)]
+    ends = ends.tolist()[size - 1 :] or [len(line)]
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(ends))
 
