@@ -12,7 +12,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, quality, secret_scan, sharding, simhash, sql, substrings, suffixes
+from . import (
+    ann,
+    chat,
+    clustering,
+    lines,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    sql,
+    substrings,
+    suffixes,
+    whitening,
+)
 from .columns import read
 
 
@@ -115,6 +130,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = clustering.clusters(read(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    return clustering.with_inertia(assigned, centroids)
+
+
 QUERIES = {
     "op1_quality": Query(op1_quality, sql.QUALITY),
     "op2_shards": Query(op2_shards),
@@ -126,4 +155,7 @@ QUERIES = {
     "op8_simhash": Query(op8_simhash),
     "op9_suffixes": Query(op9_suffixes, sql.SUFFIXES),
     "op10_secrets": Query(op10_secrets),
+    "op11_lines": Query(op11_lines, sql.LINES),
+    "op12_whitening": Query(op12_whitening),
+    "op13_clustering": Query(op13_clustering, sql.CLUSTERING),
 }

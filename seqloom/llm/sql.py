@@ -110,3 +110,48 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
   sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM docs LEFT JOIN parts USING (doc_id)
 """
+
+LINES = r"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+placed AS (SELECT row_id, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM docs),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM placed),
+gone AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT row_id) >= 10),
+kept AS (
+  SELECT row_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
+  FROM keyed ANTI JOIN gone USING (k) GROUP BY row_id)
+SELECT doc_id, len(ls) AS n_lines, len(ls) - coalesce(n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (row_id)
+"""
+
+
+def _clustering(k: int = 16, rounds: int = 3, width: int = 64, scale: int = 64) -> str:
+    nearest = f"""
+  SELECT row_id, vec_id, x.v AS v, min(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) ** 2))::BIGINT * {k} + c) AS m
+  FROM kept x, c{{0}} y GROUP BY ALL"""
+    parts = [
+        f"""
+kept AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {width}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {k}),
+a0 AS ({nearest.format(0)})"""
+    ]
+    for r in range(1, rounds + 1):
+        parts.append(f"""
+s{r} AS (
+  SELECT m % {k} AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n
+  FROM a{r - 1}, (SELECT unnest(range(1, {width + 1})) AS i) GROUP BY ALL),
+n{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM s{r} GROUP BY c),
+c{r} AS (SELECT c, coalesce(w, v) AS v FROM c{r - 1} LEFT JOIN n{r} USING (c)),
+a{r} AS ({nearest.format(r)})""")
+    last = f"""
+SELECT vec_id, (m % {k})::INTEGER AS cluster, m // {k} AS distance,
+  sum(m // {k}) OVER (PARTITION BY m % {k})::BIGINT AS cluster_inertia, sum(m // {k}) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(y.v, lambda c: c::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} y ON c = m % {k}"""
+    return "WITH" + ",".join(parts) + last
+
+
+CLUSTERING = _clustering()
