@@ -44,26 +44,28 @@ def encoder(name: str):
     """Token ids of a text, as the vocabulary's tokenizer file gives them.
 
     The same merges in their rank form are several times faster; texts on which that
-    library gives up go through the tokenizer file.
+    library gives up, and those that hold an added token, go through the tokenizer file.
     """
+    whole = _file(name)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
     rows = (line.split() for line in open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))
     ranks = {base64.b64decode(a): int(b) for a, b in rows}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
-        try:
-            return fast.encode_ordinary(text)
-        except Exception:
-            return _file(name).encode(text, add_special_tokens=False).ids
+        if not any(t in text for t in added):
+            try:
+                return fast.encode_ordinary(text)
+            except Exception:
+                pass
+        return whole.encode(text, add_special_tokens=False).ids
 
     return ids
 
 
 @lru_cache(maxsize=2)
 def _file(name: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
 
 def cut_pieces(length: int, name: str, with_ids: bool):

@@ -13,7 +13,6 @@ from seqloom.llm import packing
 
 def file_ids(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,9 +42,9 @@ def test_every_id_lies_in_one_piece(spark, length):
         assert at <= length
 
 
-def test_special_tokens_are_plain_text():
+def test_added_tokens_have_the_ids_of_the_file():
     text = "a <|endoftext|> b"
-    assert packing.encoder(packing.VOCABULARY)(text) == file_ids(text) and 50256 not in file_ids(text)
+    assert packing.encoder(packing.VOCABULARY)(text) == file_ids(text) and file_ids(text).count(50256) == 1
 
 
 def best_sum(counts, capacity):
