@@ -199,7 +199,7 @@ def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     repeated = cut(found.where(F.col("n") >= min_docs).select("key", "first")).select("key", "first", salts)
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "own", "line"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(repeated, ["key", "salt"])
+    gone = salted.join(repeated.hint("merge"), ["key", "salt"])  # one plan at every size
     if keep == "first":
         itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own"))
         gone = gone.where(~(itself & (F.col("line") == F.col("first.line"))))
@@ -210,7 +210,7 @@ def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "
     plain = plain.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
     open_ = marked.where(F.size("suspects") > 0).select("doc_id", "own", "n_lines", "text")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of"))
-    settled = open_.join(dropped.hint("merge"), same, "left")  # one plan at every size
+    settled = open_.join(dropped.hint("merge"), same, "left")
     none = F.expr("cast(array() AS array<int>)")
     settled = settled.withColumn("dropped", F.coalesce("dropped", none))
     settled = settled.select(
