@@ -145,7 +145,8 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int, dict
 
 def pack(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """The pieces of ``docs`` with their ``sequence_id`` and ``offset`` there."""
-    cutted = sliced(pieces(docs, length, **how), "length", "doc_id", "start", "ids_crc32")
+    written = cut(pieces(docs, length, **how))  # dealing out by ranges samples its input first: no second tokenizing
+    cutted = sliced(written, "length", "doc_id", "start", "ids_crc32")
     counts = {r["length"]: r["count"] for r in cutted.groupBy("length").count().collect()}  # a row per length
     placed = running(cutted, ["length", "doc_id", "start", "ids_crc32"], rank=F.lit(1))
     at = _placer(counts, plan(counts, length))
