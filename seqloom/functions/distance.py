@@ -182,6 +182,26 @@ def _prepared(metric, x: np.ndarray) -> np.ndarray:
     return _np_tonnetz(x) if metric == "tonnetz" else x
 
 
+def measuring(metric):
+    """``prepare(frame)`` and ``measure(frame, frames)`` on prepared ones, with the arithmetic of ``row_metric``."""
+    if callable(metric):
+        return np.asarray, lambda p, rows: np.asarray(metric(p, rows), dtype=float)
+    return lambda x: _prepared(metric, np.asarray(x, dtype=float)[None])[0], _PAIRWISE[metric]
+
+
+def as_length(metric):
+    """The increasing function that makes a distance obey the triangle inequality; none if unknown."""
+    if callable(metric):
+        return None
+    if metric in ("cosine", "correlation"):  # half the squared chord between unit vectors
+        return lambda d: np.sqrt(2 * np.maximum(d, 0.0))
+    if metric == "sqeuclidean":
+        return np.sqrt
+    if metric in ("euclidean", "cityblock", "chebyshev", "hamming", "tonnetz"):
+        return np.asarray
+    return None
+
+
 def pair_distance(metric):
     """Distance of two frame columns, row by row, with the arithmetic of ``row_metric``."""
 

@@ -11,20 +11,20 @@ from ..operators import tracker
 from ..operators.rate import threshold_grid
 from ..session import checkpoint_dir
 from ..sources import sequences
-from ..streaming import live
+from ..streaming import frames, live
 from .catalog import register
 from .index_queries import FO, IR_SQL
 from .machine_sql import COSINE, WORDS, automaton_ctes
 from .matching_queries import LOG_A, MEDIANS, RANKED, chroma_frames, on_model_before
-from .vector_queries import fold_sql
+from .vector_queries import VALUE, VALUE_THRESHOLD, fold_sql
 
 GRID = threshold_grid(0.02, 0.12, 0.01)
 
 
 def _track(rule, decay):
     def run(spark, sf_dir):
-        frames = chroma_frames(spark, sf_dir)
-        return tracker.track(tracker.fit(frames, GRID), on_model_before(frames, frames), decay, rule)
+        known = chroma_frames(spark, sf_dir)
+        return tracker.track(tracker.fit(known, GRID), on_model_before(known, known), decay, rule)
 
     return run
 
@@ -53,6 +53,15 @@ def _grow_stream(spark, sf_dir):
     return live.run_available(live.grow_stream(flat, ["ts", "event_id"]), *_live_dirs(spark))
 
 
+def _grow_frames(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events")
+    flat = events.select(
+        F.col("user_id").alias("seq_id"), "ts", "event_id", F.array(F.col("value").cast("double")).alias("item")
+    )
+    grown = frames.grow_frames(flat, VALUE_THRESHOLD, "euclidean", ["ts", "event_id"])
+    return live.run_available(grown, *_live_dirs(spark))
+
+
 def _own_thresholds(text):
     """The same CTEs on the states of each sequence's best threshold."""
     return re.sub(r"\bsq\b", "bq", re.sub(r"\bst\b", "bt", text))
@@ -113,3 +122,7 @@ register(
     "grow_stream", _grow_stream, FO, "SELECT * FROM st WHERE state > 0",
     ints=["seq_id", "state", "sfx", "lrs", "label"],
 )
+register(
+    "grow_stream_frames", _grow_frames, VALUE["inc"], "SELECT * FROM st WHERE state > 0",
+    ints=["seq_id", "state", "sfx", "lrs", "label"],
+)

@@ -106,14 +106,14 @@ def track_stream(
     )
 
 
-def _ints(*names: str) -> T.StructType:
+def ints(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.IntegerType()) for n in names])
 
 
-STATE_ROWS = T.StructType([T.StructField("seq_id", T.LongType()), *_ints("state", "sfx", "lrs", "label")])
+STATE_ROWS = T.StructType([T.StructField("seq_id", T.LongType()), *ints("state", "sfx", "lrs", "label")])
 
 
-class _Cells:
+class Cells:
     """A map state read through a cache and written back once per micro-batch."""
 
     def __init__(self, state, pack=lambda v: (v,), unpack=lambda v: v[0]):
@@ -143,6 +143,16 @@ class _Cells:
             self.state.updateValue(self._key(key), self.pack(self.seen[key]))
 
 
+def link_maps(handle: StatefulProcessorHandle) -> dict:
+    """Map states of an automaton's links, whatever its items are."""
+    return {
+        "sfx": handle.getMapState("sfx", ints("state"), ints("v")),
+        "lrs": handle.getMapState("lrs", ints("state"), ints("v")),
+        "label": handle.getMapState("label", ints("state"), ints("v")),
+        "twin": handle.getMapState("twin", ints("sfx", "lrs", "label"), ints("v")),
+    }
+
+
 class _Grow(StatefulProcessor):
     """State: links and counters of the key's automaton, one map entry per state or link.
 
@@ -154,20 +164,17 @@ class _Grow(StatefulProcessor):
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.size = handle.getValueState("size", _ints("n", "fresh"))
+        self.size = handle.getValueState("size", ints("n", "fresh"))
         self.maps = {
-            "sfx": handle.getMapState("sfx", _ints("state"), _ints("v")),
-            "lrs": handle.getMapState("lrs", _ints("state"), _ints("v")),
-            "label": handle.getMapState("label", _ints("state"), _ints("v")),
-            "goto": handle.getMapState("goto", _ints("state", "label"), _ints("v")),
-            "twin": handle.getMapState("twin", _ints("sfx", "lrs", "label"), _ints("v")),
-            "code": handle.getMapState("code", T.StructType([T.StructField("s", T.StringType())]), _ints("v")),
+            **link_maps(handle),
+            "goto": handle.getMapState("goto", ints("state", "label"), ints("v")),
+            "code": handle.getMapState("code", T.StructType([T.StructField("s", T.StringType())]), ints("v")),
         }
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        cells = {name: _Cells(state) for name, state in self.maps.items()}
-        sfx, lrs, label, goto, twin, code = cells.values()
+        cells = {name: Cells(state) for name, state in self.maps.items()}
+        sfx, lrs, label, twin, goto, code = cells.values()
         n, fresh = self.size.get() if self.size.exists() else (0, 0)
         if n == 0:
             sfx[0], lrs[0] = -1, 0

@@ -7,8 +7,8 @@ import pytest
 
 from conftest import sequences_of
 from seqloom.operators import tracker
-from seqloom.operators.links import link_symbols
-from seqloom.streaming import live
+from seqloom.operators.links import link_frames, link_symbols
+from seqloom.streaming import frames, live
 
 
 def write(spark, rows, schema, path, part):
@@ -73,3 +73,55 @@ def test_reset_and_tied_times(spark, tmp_path, two_partitions):
     got = [r.frame for r in sorted(live.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect(), key=lambda r: r.t)]
     once = [r.frame for r in tracker.track(models, sequences_of(spark, {5: frames[2:8]}, "frame")).orderBy("t").collect()]
     assert got == once * 2
+
+
+def city():
+    return lambda x, others: abs(others - x).sum(axis=1)  # made in a function, so it travels by value
+
+
+@pytest.mark.parametrize(
+    "metric,method,own",
+    [("euclidean", "inc", False), ("cosine", "complete", True), ("function", "inc", False)],
+    ids=["euclidean", "cosine", "function"],
+)
+def test_frames_grow_over_batches_and_restarts(spark, tmp_path, two_partitions, metric, method, own):
+    rng, metric = random.Random(8), city() if metric == "function" else metric
+    table = {s: [[rng.choice((0.0, 1.0, 4.0)) + rng.random(), rng.random(), rng.random()] for _ in range(60)] for s in (1, 2)}
+    table[2][5] = [0.0, 0.0, 0.0]
+    table[1][9] = table[1][3]
+    thresholds = {1: 0.5, 2: 0.3} if metric != "cosine" else {1: 0.05, 2: 0.02}
+    given = spark.createDataFrame(list(thresholds.items()), "seq_id long, threshold double") if own else thresholds[1]
+    schema, path = "seq_id long, pos long, item array<double>", str(tmp_path / "in")
+    rows = [(s, p, x) for s, items in table.items() for p, x in enumerate(items, 1)]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    write(spark, [r for r in rows if r[1] <= 25], schema, path, 1)
+    live.run_available(frames.grow_frames(read(spark, schema, path), given, metric, method=method), out, state)
+    write(spark, [r for r in rows if r[1] > 25], schema, path, 2)
+    grown = live.run_available(frames.grow_frames(read(spark, schema, path), given, metric, method=method), out, state)
+    got = sorted(map(tuple, grown.collect()))
+    want, compared = [], 0
+    for s, items in table.items():
+        o = link_frames(items, thresholds[s if own else 1], metric, method == "complete")
+        want += [(s, i, o["sfx"][i], o["lrs"][i], o["label"][i]) for i in range(1, len(items) + 1)]
+    assert [r[:5] for r in got] == sorted(want)
+
+
+def test_pivots_leave_few_targets_to_measure():
+    rng = random.Random(5)
+    items = [[rng.random() * 100] for _ in range(400)]
+
+    class Table(dict):
+        def __getitem__(self, key):
+            return self.get(key)
+
+    def grown(metric):
+        cells = {n: Table() for n in ("frame", "pivot", "filled", "part")}
+        targets = frames.Targets(cells, metric, 0.5)
+        sfx, lrs, label, twin, fresh = {0: -1}, {0: 0}, {0: -1}, {}, 0
+        for i, x in enumerate(items, 1):
+            targets.enter(i, x)
+            fresh += live.add_state(i, fresh, label, sfx, lrs, twin, targets.hit, targets.link)
+        return sfx, lrs, label, targets.measured
+
+    near, every = grown("euclidean"), grown(city())
+    assert near[:3] == every[:3] and near[3] < 0.2 * every[3]
