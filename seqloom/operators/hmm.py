@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from ..sources import sequences
+from . import maxplus
 from .automaton import LIMIT, Index
 from .similarity import with_row_share
 
@@ -73,24 +76,34 @@ def cluster_medians(index: Index, seqs: DataFrame, limit: int = LIMIT) -> DataFr
     return med.select("seq_id.*", "med")
 
 
-def recognition(index: Index, seqs: DataFrame, obs: DataFrame, order: int = 1, smooth: bool = False):
+def recognition(index: Index, seqs: DataFrame, obs: DataFrame, order: int = 1, smooth: bool = False, limit: int = LIMIT):
     """Viterbi scores of every observation sequence on the model with the same ``seq_id``.
 
     Rows ``t, label, score, back`` (t from 1): emissions are log dot products with the
     cluster medians scaled to sum 1, transitions come from the last tensor layer plus
     one, and ``back`` is the best predecessor of the next step (null at the end).
+    Sequences of more than ``limit`` observations are scored in blocks (:mod:`maxplus`).
     """
-    models = _models(index, seqs, order, smooth)
+    models = _models(index, seqs, order, smooth, limit)
+    short, long = by_length(obs, limit)
     scores = _viterbi(F.col("items"), "n_labels", "med", "cells")
-    joined = sequences.pack(bounded(obs, "recognition")).join(models, "seq_id")
-    return sequences.spread(joined, "seq_id").select("seq_id", F.inline(scores))
+    joined = sequences.pack(short).join(models, "seq_id")
+    scored = sequences.spread(joined, "seq_id").select("seq_id", F.inline(scores))
+    return scored if long is None else scored.unionByName(_in_blocks(long, models))
 
 
-def _models(index: Index, seqs: DataFrame, order: int, smooth: bool) -> DataFrame:
-    """One row per model; its size is bounded by the clusters of a bounded sequence."""
-    index.require_bounded("recognition")
+def by_length(obs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The sequences of at most ``limit`` items, and the longer ones if there are any."""
+    sized = sequences.lengths(obs)
+    if (sized.agg(F.max("n")).first()[0] or 0) <= limit:
+        return obs, None
+    return tuple(obs.join(sized.where(c), "seq_id").drop("n") for c in (F.col("n") <= limit, F.col("n") > limit))
+
+
+def _models(index: Index, seqs: DataFrame, order: int, smooth: bool, limit: int = LIMIT) -> DataFrame:
+    """One row per model; its size follows the clusters, their medians and stored cells."""
     med = (
-        cluster_medians(index, seqs)
+        cluster_medians(index, seqs, limit)
         .groupBy("seq_id")
         .agg(F.sort_array(F.collect_list(F.struct("label", "dim", "med"))).alias("med"))
         .select("seq_id", F.col("med.med").alias("med"))
@@ -105,6 +118,48 @@ def _models(index: Index, seqs: DataFrame, order: int, smooth: bool) -> DataFram
     return width.join(med, "seq_id").join(cells, "seq_id", "left")
 
 
+def emissions(n_labels: int, med, items) -> np.ndarray:
+    """Log dot products of the observations with the medians scaled to sum 1."""
+    means = np.array(med).reshape(n_labels, -1) + EPS
+    means /= means.sum(axis=1, keepdims=True)
+    return np.log(np.array(items) @ means.T)
+
+
+def _in_blocks(obs: DataFrame, models: DataFrame) -> DataFrame:
+    """The scores of long sequences, from the incoming scores of their blocks."""
+    blocks = cut(maxplus.in_blocks(obs, models))
+    size = maxplus.BLOCK
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, emit = maxplus.Transitions(r["n_labels"], r["cells"]), emissions(r["n_labels"], r["med"], r["items"])
+                v = emit[0] - np.log(a.n) if r["v"] is None else a.step(np.array(r["v"])[None])[0] + emit[0]
+                backs, rows = [], []
+                for t in range(len(emit)):
+                    rows.append(v)
+                    step, back = a.best(v)
+                    backs.append(back)
+                    if t + 1 < len(emit):
+                        v = step + emit[t + 1]
+                back = np.array(backs)
+                ended = np.zeros(back.shape, bool)
+                ended[-1] = r["last"]
+                n, labels = len(emit), np.arange(a.n, dtype=np.int32)
+                columns = [
+                    pa.array([r["seq_id"]] * (n * a.n), batch.schema.field("seq_id").type),
+                    pa.array(np.repeat(np.arange(n, dtype=np.int32) + r["block"] * size + 1, a.n)),
+                    pa.array(np.tile(labels, n)),
+                    pa.array(np.array(rows).ravel()),
+                    pa.array(back.ravel().astype(np.int32), mask=ended.ravel()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "t", "label", "score", "back"])
+
+    started = blocks.join(maxplus.incoming(blocks, emissions), ["seq_id", "block"])
+    schema = f"seq_id {obs.schema['seq_id'].dataType.simpleString()}, t int, label int, score double, back int"
+    return sequences.spread(started, "seq_id", "block").mapInArrow(score, schema)
+
+
 def log_transitions(n_labels: int, cells, smooth: float = 1.0) -> np.ndarray:
     """Log of the row-normalised ``probabilities + smooth`` of one model."""
     a = np.zeros((n_labels, n_labels))
@@ -132,10 +187,7 @@ VITERBI = T.ArrayType(
 def _viterbi(items: pa.Array, n_labels: pa.Array, med: pa.Array, cells: pa.Array) -> pa.Array:
     out = []
     for obs, n, m, c in zip(items.to_pylist(), n_labels.to_pylist(), med.to_pylist(), cells.to_pylist()):
-        means = np.array(m).reshape(n, -1) + EPS
-        means /= means.sum(axis=1, keepdims=True)
-        log_a = log_transitions(n, c)
-        emit = np.log(np.array(obs) @ means.T)
+        log_a, emit = log_transitions(n, c), emissions(n, m, obs)
         v, rows = emit[0] - np.log(n), []
         for t in range(len(obs)):
             step = v[:, None] + log_a
@@ -153,11 +205,3 @@ def _viterbi(items: pa.Array, n_labels: pa.Array, med: pa.Array, cells: pa.Array
 _VITERBI_ARROW = pa.list_(
     pa.struct([("t", pa.int32()), ("label", pa.int32()), ("score", pa.float64()), ("back", pa.int32())])
 )
-
-
-def bounded(df: DataFrame, what: str) -> DataFrame:
-    """The sequences, once none of them is longer than a task may hold."""
-    longest = sequences.lengths(df).agg(F.max("n")).first()[0] or 0
-    if longest > LIMIT:
-        raise ValueError(f"{what} holds one sequence per task; {longest} > {LIMIT} items")
-    return df

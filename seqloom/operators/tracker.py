@@ -7,21 +7,25 @@ stateful streaming operator of :mod:`seqloom.streaming.live`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from ..sources import sequences
-from .automaton import build_index
-from .hmm import EPS, bounded, cluster_medians, hmm_tensor, log_transitions
+from . import maxplus
+from .automaton import LIMIT, build_index
+from .hmm import EPS, by_length, cluster_medians, hmm_tensor, log_transitions
 from .rate import find_threshold, threshold_grid
 
 MODEL = ("n_labels", "med", "cells", "label")
 
 
-def fit(seqs: DataFrame, grid=None, metric: str = "cosine") -> DataFrame:
+def fit(seqs: DataFrame, grid=None, metric: str = "cosine", limit: int = LIMIT) -> DataFrame:
     """One model per sequence: ``seq_id, threshold, n_labels, med, cells, label``.
 
     ``med`` holds the cluster medians row by row, ``cells`` the transition cells and
@@ -29,9 +33,8 @@ def fit(seqs: DataFrame, grid=None, metric: str = "cosine") -> DataFrame:
     """
     grid = threshold_grid(0.0, 1.0, 0.001) if grid is None else grid
     best = find_threshold(seqs, grid, metric=metric).select("seq_id", "threshold")
-    index = build_index(seqs, "variable", best, metric)
-    index.require_bounded("tracking")
-    med = cluster_medians(index, seqs).groupBy("seq_id").agg(
+    index = build_index(seqs, "variable", best, metric, limit=limit)
+    med = cluster_medians(index, seqs, limit).groupBy("seq_id").agg(
         F.sort_array(F.collect_list(F.struct("label", "dim", "med"))).alias("m")
     )
     cells = hmm_tensor(index, 1).groupBy("seq_id").agg(
@@ -88,8 +91,11 @@ class Follower:
         return self.frame - 1
 
 
-def track(models: DataFrame, obs: DataFrame, decay: float = 1.0, rule: str = "predicted") -> DataFrame:
-    """Frames ``seq_id, t, frame`` of every observation sequence on the model of its id."""
+def track(models: DataFrame, obs: DataFrame, decay: float = 1.0, rule: str = "predicted", limit: int = LIMIT) -> DataFrame:
+    """Frames ``seq_id, t, frame`` of every observation sequence on the model of its id.
+
+    Sequences of more than ``limit`` observations are scored in blocks (:mod:`maxplus`).
+    """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def follow(n_labels: pa.Array, med: pa.Array, cells: pa.Array, label: pa.Array, items: pa.Array) -> pa.Array:
@@ -99,8 +105,82 @@ def track(models: DataFrame, obs: DataFrame, decay: float = 1.0, rule: str = "pr
             out.append([follower.observe(x) for x in seq])
         return pa.array(out, type=pa.list_(pa.int32()))
 
-    packed = sequences.pack(bounded(obs, "tracking"))
+    short, long = by_length(obs, limit)
+    packed = sequences.pack(short)
     frames = sequences.spread(packed.join(models, "seq_id"), "seq_id").select(
         "seq_id", F.posexplode(follow(*MODEL, "items")).alias("i", "frame")
     )
-    return frames.select("seq_id", (F.col("i") + 1).alias("t"), "frame")
+    frames = frames.select("seq_id", (F.col("i") + 1).alias("t"), "frame")
+    return frames if long is None else frames.unionByName(_in_blocks(long, models, decay, rule))
+
+
+def closeness(n_labels: int, med, items) -> np.ndarray:
+    """Log emissions from the angles between observations and medians."""
+    med, x = np.array(med, dtype=float).reshape(n_labels, -1), np.array(items, dtype=float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        apart = 1.0 - x @ med.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(med, axis=1))
+    return np.log((2.0 - apart + EPS) / 2.0)
+
+
+def _in_blocks(obs: DataFrame, models: DataFrame, decay: float, rule: str) -> DataFrame:
+    """The clusters of all blocks at once, then the frames in one pass over the clusters."""
+    if rule not in ("predicted", "observed"):
+        raise ValueError(f"unknown rule {rule!r}")
+    blocks = cut(maxplus.in_blocks(obs, models.select("seq_id", *MODEL)))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, emit = maxplus.Transitions(r["n_labels"], r["cells"]), closeness(r["n_labels"], r["med"], r["items"])
+                v, chosen = r["v"], []
+                for e in emit:
+                    if v is None:
+                        v = e - np.log(a.n)
+                        chosen.append(0 if rule == "predicted" else int(v.argmax()))
+                        continue
+                    step = a.step(decay * np.array(v)[None])[0]
+                    v = step + e
+                    chosen.append(int((step if rule == "predicted" else v).argmax()))
+                label = r["label"] if r["block"] == 0 else None
+                rows = {"seq_id": [r["seq_id"]], "block": [r["block"]], "chosen": [chosen], "label": [label]}
+                yield maxplus.records(batch, rows, chosen=_INTS, label=_INTS)
+
+    key = f"seq_id {obs.schema['seq_id'].dataType.simpleString()}"
+    started = blocks.join(maxplus.incoming(blocks, closeness, decay), ["seq_id", "block"])
+    chosen = sequences.spread(started, "seq_id", "block").mapInArrow(
+        choose, f"{key}, block int, chosen array<int>, label array<int>"
+    )
+    ordered = cut(chosen).repartition("seq_id").sortWithinPartitions("seq_id", "block")
+    return ordered.mapInArrow(_frames, f"{key}, t int, frame int")
+
+
+_INTS = pa.list_(pa.int32())
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One frame per observation: the next one where its cluster is chosen, else the nearest."""
+    frame, t, members = 0, 0, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["block"] == 0:
+                label = np.array(r["label"])
+                order = np.argsort(label, kind="stable")
+                members = np.split(order + 1, np.cumsum(np.bincount(label))[:-1])
+                frame, t = 0, 0
+            out = []
+            for c in r["chosen"]:
+                own = members[c]
+                at = int(np.searchsorted(own, frame + 1))
+                if frame == 0:
+                    frame = int(own[0])
+                elif at < len(own) and own[at] == frame + 1:
+                    frame += 1
+                else:
+                    near = own[max(at - 1, 0) : at + 1]
+                    frame = int(near[np.abs(near - frame).argmin()])
+                out.append(frame - 1)
+            times = np.arange(t + 1, t + len(out) + 1, dtype=np.int32)
+            t += len(out)
+            ids = pa.array([r["seq_id"]] * len(out), batch.schema.field("seq_id").type)
+            columns = [ids, pa.array(times), pa.array(out, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "t", "frame"])
