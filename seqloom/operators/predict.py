@@ -14,7 +14,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..sources import sequences
 from .automaton import LIMIT, build_index
 from .context_joins import accept_by_joins, predict_by_joins
-from .hmm import bounded
 from .links import link_symbols
 
 CHUNK = 1000  # contexts that share one rebuilt model inside a task
@@ -165,6 +164,9 @@ def log_loss(seqs: DataFrame, tests: DataFrame, m_order: int | None = None) -> D
         return pa.StructArray.from_arrays(cols, names=["log_loss", "mean_context"])
 
     packed = sequences.pack(tests, "test_id").withColumnRenamed("items", "test")
-    models = sequences.pack(bounded(seqs, "prediction"))
+    longest = _longest(seqs)
+    if longest > LIMIT:
+        raise ValueError(f"log-loss holds one model per task; {longest} > {LIMIT} items")
+    models = sequences.pack(seqs)
     scored = sequences.spread(models.join(packed, "seq_id"), "seq_id", "test_id").select("seq_id", "test_id", loss("items", "test").alias("l"))
     return scored.select("seq_id", "test_id", "l.log_loss", "l.mean_context")
