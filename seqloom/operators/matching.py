@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.distance import row_metric
 from ..sources import sequences
 from .automaton import LIMIT, Index, build_index
-from .walks import walk_by_rounds
+from .walks import walk_by_maps
 
 POLICIES = ("forward", "forward_self", "suffix")
 
@@ -42,7 +42,7 @@ def models(index: Index, seqs: DataFrame) -> DataFrame:
 def _walks(index, seqs, obs, pairs, starts=None, limit=LIMIT, factor=None, **how) -> DataFrame:
     """Steps ``start, t, state, cost`` of every pair; ``cost`` accumulates.
 
-    Bounded pairs are walked inside a task, longer ones by rounds of joins.  ``factor``
+    Bounded pairs are walked inside a task, longer ones by composed maps.  ``factor``
     cuts the observations into chunks, each walked on its own.
     """
     _check(how["policy"])
@@ -61,7 +61,7 @@ def _walks(index, seqs, obs, pairs, starts=None, limit=LIMIT, factor=None, **how
         cols = [F.col("seq_id").alias("obs_id"), t.cast("int").alias("t"), F.col("item").alias("q")]
         if factor is not None:
             cols.append(((F.col("pos") - 1) / factor).cast("int").alias("chunk"))
-        return walk_by_rounds(index, seqs, numbered.select(*cols), pairs, keys, starts, **how)
+        return walk_by_maps(index, seqs, numbered.select(*cols), pairs, keys, starts, **how)
     packed = sequences.pack(named, *keys[1:]).select(
         F.col("seq_id").alias("obs_id"), *keys[1:], F.col("items").alias("o_items")
     )

@@ -1,7 +1,14 @@
-"""Walks through models too long for one task: one round of joins per observation.
+"""Walks through models too long for one task, in jobs that grow with the log of the walk.
 
-The nearest frame of every cluster is found for all observations in one aggregation;
-each round then moves all paths of all pairs at once along the model's links.
+A greedy step leads to the nearest frame of some cluster, so after an observation a path
+stands on one of as many states as there are clusters.  What the next observation does to
+each of them is a map from cluster to cluster with a cost, and all observations' maps come from
+one set of joins.  Maps over 1, 2, 4, ... observations are composed by joining a table of
+maps with itself, and every round doubles the part of the paths that is known.
+
+Where the distance from the natural successor is blended in, the state chosen inside a cluster
+depends on the state before it, so there is no such map: those walks take a round of
+joins per observation.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ def reachable(index: Index, policy: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def walk_by_rounds(
+def walk_by_maps(
     index: Index, seqs, obs, pairs, keys, starts, policy, nearest,
     expand=True, decay=1.0, weight=None, metric="sqeuclidean",
 ) -> DataFrame:
@@ -61,23 +68,57 @@ def walk_by_rounds(
 
     labels = frames.select("seq_id", F.col("state").alias("to"), F.col("label"))
     reach = reachable(index, policy).join(labels, ["seq_id", "to"])
-    reach = cut(reach.withColumn("g", F.col("label") if expand else F.col("to")))
+    reach = cut(reach.withColumn("next", F.col("label") if expand else F.col("to")).drop("label"))
 
-    now = cut(_first_step(index, frames, obs, pairs, low, starts, nearest, on))
-    steps = [now]
-    for t in range(2, (obs.agg(F.max("t")).first()[0] or 0) + 1):
-        moves = now.withColumnRenamed("state", "p").join(reach, ["seq_id", "p"])
+    def steps(places, *carried):
+        """The best next ``g``, its cost ``d`` and state ``who`` from states ``p`` at ``t``."""
+        moves = places.join(reach, ["seq_id", "p"])
         if weight is None:
-            options = moves.join(low.where(F.col("t") == t).drop("t"), [*on, "g"])
+            options = moves.join(_sooner(low).withColumnRenamed("g", "next"), [*on, "t", "next"])
         else:
-            options = _blended(moves, frames, obs.where(F.col("t") == t), keys, weight, metric, expand)
-        best = options.groupBy(*on, "start", "cost").agg(F.min(F.struct("d", "slot", "who")).alias("b"))
-        total = F.col("cost") * decay + F.col("b.d")
-        now = cut(
-            best.select(*on, "start", F.lit(t).alias("t"), F.col("b.who").alias("state"), total.alias("cost"))
-        )
-        steps.append(now)
-    return reduce(DataFrame.unionByName, steps)
+            options = _blended(moves, frames, _sooner(obs), [*keys, "t"], weight, metric, expand)
+        best = options.groupBy(*on, "t", *carried).agg(F.min(F.struct("d", "slot", "who", "next")).alias("b"))
+        return best.select(*on, "t", *carried, "b.d", "b.who", "b.next")
+
+    first = cut(_first_step(index, frames, obs, pairs, low, starts, nearest, on))
+    after = first.select(*on, "start", "t", F.col("state").alias("p"), "cost")
+    total = F.col("cost") * decay + F.col("d")
+    later = F.col("t") + 1
+    if weight is not None:
+        walked = [first]
+        for _ in range((obs.agg(F.max("t")).first()[0] or 1) - 1):
+            moved = steps(after, "start", "cost").select(*on, "start", later.alias("t"), F.col("who").alias("p"), total.alias("cost"))
+            after = cut(moved)
+            walked.append(after.select(*on, "start", "t", F.col("p").alias("state"), "cost"))
+        return reduce(DataFrame.unionByName, walked)
+    second = steps(after, "start", "cost").select(*on, "start", later.alias("t"), F.col("next").alias("g"), total.alias("cost"))
+    second = cut(second)
+    moved = steps(low.where("t > 1").select(*on, "t", "g", F.col("who").alias("p")), "g")
+    maps = cut(moved.select(*on, "t", "g", "next", F.col("d").alias("more")))
+    paths = _followed(second, maps, on, decay)
+    state = low.select(*on, "t", "g", F.col("who").alias("state"))
+    return first.unionByName(paths.join(state, [*on, "t", "g"]).select(*first.columns))
+
+
+def _sooner(table: DataFrame) -> DataFrame:
+    """What belongs to the observation after ``t``."""
+    return table.withColumn("t", (F.col("t") - 1).cast("int"))
+
+
+def _followed(paths: DataFrame, maps: DataFrame, on, decay: float) -> DataFrame:
+    """Paths from their second observation to their last, by maps of doubling span."""
+    span, last = 1, maps.agg(F.max("t")).first()[0] or 0
+    while span < last:
+        fade = decay**span
+        cost = (F.col("cost") * fade + F.col("more")).alias("cost")
+        landed = paths.join(maps, [*on, "t", "g"])
+        landed = landed.select(*on, "start", (F.col("t") + span).cast("int").alias("t"), F.col("next").alias("g"), cost)
+        paths = cut(paths.unionByName(landed))
+        after = maps.select(*on, (F.col("t") - span).cast("int").alias("t"), F.col("g").alias("next"), F.col("next").alias("then"), F.col("more").alias("then_more"))
+        both = maps.join(after, [*on, "t", "next"])
+        maps = cut(both.select(*on, "t", "g", F.col("then").alias("next"), (F.col("more") * fade + F.col("then_more")).alias("more")))
+        span *= 2
+    return paths
 
 
 def _first_step(index, frames, obs, pairs, low, starts, nearest, on) -> DataFrame:
@@ -95,13 +136,13 @@ def _first_step(index, frames, obs, pairs, low, starts, nearest, on) -> DataFram
     return placed.select(*on, "start", "t", F.col("p").alias("state"), sqeuclidean("q", "x").alias("cost"))
 
 
-def _blended(moves, frames, obs, keys, weight, metric, expand) -> DataFrame:
+def _blended(moves, frames, obs, on, weight, metric, expand) -> DataFrame:
     """Candidates whose distance also counts how far they are from the natural successor."""
     after = frames.select("seq_id", (F.col("state") - 1).alias("p"), F.col("x").alias("next_x"))
-    seen = moves.join(after, ["seq_id", "p"], "left").join(obs.drop("t"), list(keys))
+    seen = moves.join(after, ["seq_id", "p"], "left").join(obs, list(on))
     group = F.col("label") if expand else F.col("state")
-    members = frames.select("seq_id", F.col("state").alias("who"), group.alias("g"), "x")
-    options = seen.join(members, ["seq_id", "g"])
+    members = frames.select("seq_id", F.col("state").alias("who"), group.alias("next"), "x")
+    options = seen.join(members, ["seq_id", "next"])
     plain = sqeuclidean("q", "x")
     mixed = plain * (1.0 - weight) + distance("next_x", "x", metric) * weight
     d = F.when(F.col("next_x").isNull(), plain).otherwise(mixed)

@@ -21,7 +21,7 @@ def test_rounds_equal_task(spark, how):
     rng = random.Random(6)
     points = {s: [[rng.random(), rng.random()] for _ in range(20)] for s in (1, 2)}
     seqs = sequences_of(spark, points, "frame")
-    obs = sequences_of(spark, {1: points[2][:5], 2: points[1][3:7]}, "frame")
+    obs = sequences_of(spark, {1: points[2][:14], 2: points[1][3:7]}, "frame")
     ix = build_index(seqs, "variable", 0.3)
 
     def steps(limit):
