@@ -80,3 +80,36 @@ def test_one_linking_step_for_many_readers(spark):
     index = build_index(sequences_of(spark, {1: list("abbcabcdabc")}))
     plan = similarity.transition(index, "trn")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_few_rounds_for_doubled_periodic_and_nested_repeats(spark, monkeypatch, one_partition):
+    rng = random.Random(1)
+    half = [rng.choice("abcd") for _ in range(1000)]
+    parts = [[rng.choice("ab") for _ in range(rng.randrange(30, 80))] for _ in range(8)]
+    nested = [x for _ in range(12) for x in rng.choice(parts)]
+    walks, inner = [], rounds._walk
+    monkeypatch.setattr(rounds, "_walk", lambda *args: walks.append(1) or inner(*args))
+    seqs = sequences_of(spark, {1: half + half, 2: list("abcab") * 400, 3: nested})
+    long = rows(build_index(seqs, limit=0))
+    assert long == rows(build_index(seqs)) and len(walks) < 20
+
+
+def test_longest_earlier_repeats_are_repeats(spark, one_partition):
+    from seqloom.operators.earlier import longest_earlier
+
+    rng = random.Random(5)
+    half = [rng.choice("abc") for _ in range(40)]
+    table = {1: half + list("zz") + half, 2: list("abcab") * 12, 3: list("aaaaaaa"), 4: list("abcdefg"), 5: ["a"]}
+    seqs = sequences_of(spark, table)
+    items = rounds._items(seqs, ("seq_id",), "symbolic", 0.0)
+    got = {}
+    for r in longest_earlier(items, ("seq_id",), 82).collect():
+        got.setdefault(r.seq_id, {})[r.i] = (r.end, r.len)
+    for s, x in table.items():
+        assert sorted(got[s]) == list(range(1, len(x) + 1))
+        for i, (end, n) in got[s].items():
+            assert 0 <= n <= end < i and x[i - n : i] == x[end - n : end]
+    assert all(got[1][42 + k] == (k, k) for k in range(5, 41))
+    assert all(got[2][i] == (i - 5, i - 5) for i in range(6, 61))
+    assert all(got[3][i] == (i - 1, i - 1) for i in range(1, 8))
+    assert set(got[4].values()) == {(0, 0)}
