@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scan import running
 from ..session import cut
 from .automaton import Index
 from .parse import encode, segment
@@ -53,11 +54,9 @@ def self_similarity(index: Index, method: str = "rsfx", compat: bool = False) ->
     if method == "sfx":
         return _both_ways(index, index.frames.where("sfx > 0"), F.col("state"), F.col("sfx"), F.lit(1))
     if method == "lrs":
-        ends = index.frames.where("lrs > 0")
-        start = F.col("lrs") - 1
-        return _both_ways(
-            index, ends, F.col("state") - start, F.col("sfx") - start, F.col("lrs")
-        ).distinct()
+        runs = repeat_runs(index)
+        n = F.col("end") - F.col("start") + 1
+        return _both_ways(index, runs, F.col("start"), F.col("start") - F.col("d"), n)
     if method in ("com", "comp"):
         words = encode(index).withColumn("at", F.col("word"))
         if compat:
@@ -75,6 +74,47 @@ def self_similarity(index: Index, method: str = "rsfx", compat: bool = False) ->
     return cells
 
 
+def repeat_runs(index: Index) -> DataFrame:
+    """The cells of the ``lrs`` matrix as runs ``d, start, end`` of its diagonals.
+
+    States ``start`` to ``end`` repeat those ``d`` before.  There are never more runs than states,
+    however many cells they have; :func:`repeat_tile` reads a part of them.  States in a row on one
+    diagonal are merged first, then what overlaps or touches by counting open repeats.
+    """
+    keys, longest = list(index.keys), index.longest
+    ends = index.frames.where("lrs > 0").select(
+        *keys, "state", (F.col("state") - F.col("sfx")).alias("d"), (F.col("state") - F.col("lrs") + 1).alias("start")
+    )
+    before = ends.select(*keys, (F.col("state") + 1).alias("state"), F.col("d").alias("d_before"))
+    opens = F.when(F.col("d_before").isNull() | (F.col("d_before") != F.col("d")), F.col("state"))
+    owned = running(ends.join(before, [*keys, "state"], "left"), keys, "state", longest, maxes={"h": opens})
+    rows = owned.groupBy(*keys, "h").agg(F.max("d").alias("d"), F.min("start").alias("start"), F.max("state").alias("end"))
+
+    steps = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("n")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("n")))
+    changes = rows.select(*keys, "d", F.inline(steps)).groupBy(*keys, "d", "at").agg(F.sum("n").alias("n"))
+    open_ = running(changes, [*keys, "d"], "at", longest, sums={"open": F.col("n")})
+    edges = open_.where("(open = 0) <> (open = n)")  # opened from none, or closed to none
+    starts = F.when(F.col("open") > 0, 1).otherwise(0)
+    numbered = running(edges, [*keys, "d"], "at", longest, sums={"run": starts})
+    return numbered.groupBy(*keys, "d", "run").agg(F.min("at").alias("start"), (F.max("at") - 1).alias("end")).drop("run")
+
+
+def repeat_tile(index: Index, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Cells of the ``lrs`` matrix inside a tile, read from the runs."""
+
+    def inside(a, b):
+        """Cells (i, i - d) with i in ``a`` and i - d in ``b``, as runs cut to the tile."""
+        start = F.greatest("start", F.lit(a[0]), F.lit(b[0]) + F.col("d"))
+        end = F.least("end", F.lit(a[1]), F.lit(b[1]) + F.col("d"))
+        cut_runs = runs.withColumns({"start": start, "end": end}).where("start <= end")
+        return cut_runs.select(*index.keys, "d", F.explode(F.sequence("start", "end")).alias("u"))
+
+    runs = repeat_runs(index)
+    below = inside(rows, cols).select(*index.keys, F.col("u").alias("i"), (F.col("u") - F.col("d")).alias("j"))
+    above = inside(cols, rows).select(*index.keys, (F.col("u") - F.col("d")).alias("i"), F.col("u").alias("j"))
+    return below.unionByName(above)
+
+
 def _both_ways(index: Index, df: DataFrame, i: Column, j: Column, n: Column) -> DataFrame:
     """Cells of diagonal runs of length ``n`` from (i, j), mirrored."""
     runs = df.select(*index.keys, i.alias("a"), j.alias("b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("d"))

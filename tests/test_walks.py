@@ -58,3 +58,24 @@ def test_long_prediction(spark):
         return sorted(rows), sorted(map(tuple, took))
 
     assert told(1) == told(100)
+
+
+def test_repeat_runs_and_tiles(spark):
+    from seqloom.operators import similarity
+
+    rng = random.Random(3)
+    table = {1: list("abbcabcdabc") * 4, 2: ["a"] * 60, 3: [rng.choice("ab") for _ in range(80)], 4: list("xyz")}
+    ix = build_index(sequences_of(spark, table))
+    want = {s: set() for s in table}
+    for r in ix.frames.where("lrs > 0").collect():
+        for k in range(r.lrs):
+            want[r.seq_id] |= {(r.state - k, r.sfx - k), (r.sfx - k, r.state - k)}
+    runs = similarity.repeat_runs(ix).collect()
+    per = {s: sorted((r.d, r.start, r.end) for r in runs if r.seq_id == s) for s in table}
+    assert per[2] == [(1, 2, 60)] and per[4] == []
+    for own in per.values():  # no two runs of a diagonal touch
+        assert all(a[0] < b[0] or a[2] + 1 < b[1] for a, b in zip(own, own[1:]))
+    cells = [tuple(r) for r in similarity.self_similarity(ix, "lrs").collect()]
+    assert len(cells) == len(set(cells)) and set(cells) == {(s, *c) for s in table for c in want[s]}
+    tile = {tuple(r) for r in similarity.repeat_tile(ix, (10, 30), (5, 20)).collect()}
+    assert tile == {(s, i, j) for s, i, j in cells if 10 <= i <= 30 and 5 <= j <= 20}
