@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform_sql
-from ..operators import generation, hmm, motifs, parse, predict, rate, similarity
+from ..operators import generation, hmm, motifs, parse, predict, rate, similarity, tours
 from ..operators.automaton import build_index
 from ..operators.render import drawing, overlap_add, segment_lines
 from ..sources import sequences
@@ -81,6 +81,18 @@ register(
       JOIN st ON an.seq_id = st.seq_id AND an.ancestor = st.state WHERE st.sfx > 0)""",
     "SELECT * FROM an", ints=["seq_id", "state", "ancestor", "hops"],
 )
+register(
+    "suffix_subtrees", on_index(tours.subtrees),
+    f"""{FO}, an AS (
+      SELECT seq_id, state, sfx AS ancestor FROM st WHERE state > 0
+      UNION ALL
+      SELECT an.seq_id, an.state, st.sfx FROM an
+      JOIN st ON an.seq_id = st.seq_id AND an.ancestor = st.state WHERE st.state > 0)""",
+    """SELECT seq_id, state, coalesce(below, 0) AS below, coalesce(chain, 0) AS chain
+       FROM st LEFT JOIN (SELECT seq_id, ancestor AS state, count(*) AS below FROM an GROUP BY ALL) USING (seq_id, state)
+       LEFT JOIN (SELECT seq_id, state, count(*) AS chain FROM an GROUP BY ALL) USING (seq_id, state)""",
+    ints=["seq_id", "state", "below", "chain"],
+)
 
 # -- parse and information rate --------------------------------------------------------
 

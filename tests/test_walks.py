@@ -79,3 +79,22 @@ def test_repeat_runs_and_tiles(spark):
     assert len(cells) == len(set(cells)) and set(cells) == {(s, *c) for s in table for c in want[s]}
     tile = {tuple(r) for r in similarity.repeat_tile(ix, (10, 30), (5, 20)).collect()}
     assert tile == {(s, i, j) for s, i, j in cells if 10 <= i <= 30 and 5 <= j <= 20}
+
+
+def test_suffix_intervals(spark):
+    from seqloom.operators import tours
+
+    table = {1: list("abbcabcdabc"), 2: ["a"] * 40, 3: list("abcd"), 4: ["a"]}
+    ix = build_index(sequences_of(spark, table))
+    sfx = {(r.seq_id, r.state): r.sfx for r in ix.states.collect()}
+    at = {(r.seq_id, r.state): (r.enter, r.leave) for r in tours.suffix_intervals(ix).collect()}
+    assert set(at) == set(sfx)
+    for s, x in table.items():
+        assert sorted(n for (q, _), pair in at.items() if q == s for n in pair) == list(range(2 * len(x) + 2))
+        for i in range(len(x) + 1):
+            chain, k = set(), i
+            while k is not None:
+                chain.add(k)
+                k = sfx[s, k]
+            inside = {j for j in range(len(x) + 1) if at[s, j][0] <= at[s, i][0] and at[s, i][1] <= at[s, j][1]}
+            assert inside == chain
