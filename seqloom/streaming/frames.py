@@ -15,17 +15,15 @@ Frames with components that are not finite, and zero frames of an angle, match n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..functions.distance import as_length, measuring
 from ..operators.links import add_state
-from .live import STATE_ROWS, Cells, ints, link_maps
+from .live import STATE_ROWS, Cells, InOrder, in_order, ints, link_maps
 
 PIVOTS = 4  # frames of a key that all later ones are measured against
 CHUNK = 64  # targets of one map entry
@@ -102,13 +100,15 @@ class Targets:
         return best
 
 
-class _GrowFrames(StatefulProcessor):
+class _GrowFrames(InOrder):
     """State: links and counters of the key's automaton, its frames, pivots and filed targets."""
 
-    def __init__(self, order: str | list[str], threshold: float | None, metric, exhaustive: bool):
-        self.order, self.threshold, self.metric, self.exhaustive = order, threshold, metric, exhaustive
+    def __init__(self, order: str | list[str], timed: bool, threshold: float | None, metric, exhaustive: bool):
+        super().__init__(order, T.ArrayType(T.DoubleType()), timed)
+        self.threshold, self.metric, self.exhaustive = threshold, metric, exhaustive
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.size = handle.getValueState("size", ints("n", "fresh"))
         self.own = handle.getValueState("own", _THRESHOLD)
         self.maps = link_maps(handle)
@@ -119,8 +119,7 @@ class _GrowFrames(StatefulProcessor):
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.own.update((float(initialState.iloc[0]["threshold"]),))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+    def take(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         threshold = self.own.get()[0] if self.own.exists() else self.threshold
         if threshold is None:
             raise ValueError(f"no threshold for stream {key[0]!r}")
@@ -144,10 +143,7 @@ class _GrowFrames(StatefulProcessor):
         for c in cells.values():
             c.flush()
         self.size.update((n, fresh))
-        yield pd.DataFrame(out, columns=FRAME_ROWS.names)
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=FRAME_ROWS.names)
 
 
 def grow_frames(
@@ -156,14 +152,17 @@ def grow_frames(
     metric="euclidean",
     order: str | list[str] = "pos",
     method: str = "inc",
+    event_time: str | None = None,
 ) -> DataFrame:
     """Index frame streams ``seq_id, <order>, item`` as they arrive: one row per new state.
 
     ``threshold`` is a number or a frame ``seq_id, threshold``, which enters the state store as
     initial state.  ``measured`` counts the distances that a step computed.  ``order`` is one column
-    or a list of them; rows of a key must arrive in order across micro-batches.
+    or a list of them; with ``event_time`` rows wait for the watermark (:mod:`seqloom.streaming.live`).
     """
     own = isinstance(threshold, DataFrame)
-    step = _GrowFrames(order, None if own else float(threshold), metric, method == "complete")
+    timed = event_time is not None
+    step = _GrowFrames(order, timed, None if own else float(threshold), metric, method == "complete")
     initial = threshold.select("seq_id", "threshold").groupBy("seq_id") if own else None
-    return stream.groupBy("seq_id").transformWithStateInPandas(step, FRAME_ROWS, "append", "none", initialState=initial)
+    keyed = in_order(stream, event_time).groupBy("seq_id")
+    return keyed.transformWithStateInPandas(step, FRAME_ROWS, "append", "eventTime" if timed else "none", initialState=initial)

@@ -125,3 +125,25 @@ def test_pivots_leave_few_targets_to_measure():
 
     near, every = grown("euclidean"), grown(city())
     assert near[:3] == every[:3] and near[3] < 0.2 * every[3]
+
+
+def test_late_rows_wait_or_are_dropped(spark, tmp_path, two_partitions):
+    """Rows out of order within the delay give the batch result; those beyond it are counted."""
+    schema, path = "seq_id long, at long, pos long, item string", str(tmp_path / "in")
+    items = {1: list("abbcabcdabcabd"), 2: list("xyxyyxxyxyxyyx")}
+    rows = [(s, 10 * p, p, x) for s, own in items.items() for p, x in enumerate(own, 1)]
+    early, middle, last = ([r for r in rows if a < r[1] <= b] for a, b in ((0, 60), (60, 100), (100, 140)))
+    held = [r for r in early if r[1] == 50]  # comes one batch later, still in time
+    write(spark, [r for r in reversed(early) if r not in held], schema, path, 1)
+    write(spark, held + middle, schema, path, 2)
+    write(spark, [(1, 20, 99, "z"), *last], schema, path, 3)  # long past
+    write(spark, [(s, 400, 100, "q") for s in items], schema, path, 4)  # moves the watermark beyond all others
+    stream = read(spark, schema, path)
+    timed = stream.withColumn("ts", stream["at"].cast("timestamp")).withWatermark("ts", "30 seconds")
+    told = []
+    grown = live.run_available(live.grow_stream(timed, "pos", "ts"), str(tmp_path / "out"), str(tmp_path / "state"), told)
+    want = []
+    for s, own in items.items():
+        o = link_symbols(own)
+        want += [(s, i, o["sfx"][i], o["lrs"][i], o["label"][i]) for i in range(1, len(own) + 1)]
+    assert sorted(map(tuple, grown.collect())) == sorted(want) and told == [1]
