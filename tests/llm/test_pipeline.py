@@ -63,3 +63,13 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in WITH_SQL])
 def test_query_has_rows(spark, name):
     assert QUERIES[name].run(spark, SF).count() > 0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    """Different texts under one id both stay; a copy under it goes, and of repeated rows one stays."""
+    a, b, c = (GOOD + prose(i, 120) for i in (50, 51, 52))
+    rows = [(1, a), (5, b), (5, c), (5, a), (5, b), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], SCHEMA + ", own string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, c), (1, a), (5, b), (5, c)])
