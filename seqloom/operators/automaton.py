@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from ..functions.scan import running, with_next
 from ..session import cut
 from ..sources import sequences
-from .links import link_frames, link_symbols
+from .links import link_frames, link_symbols, sweep_frames
 
 LIMIT = 100_000  # items of one sequence that a single task may hold
+STEPS = 32  # consecutive thresholds that one task sweeps
 
 INTS = ("state", "sfx", "lrs", "label", "prev_label", "word", "word_end")
 STATES = T.ArrayType(
@@ -31,6 +32,16 @@ STATES = T.ArrayType(
     )
 )
 
+RUNS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("threshold", T.DoubleType()),
+            T.StructField("members", T.ArrayType(T.DoubleType())),
+            T.StructField("states", STATES),
+        ]
+    )
+)
+
 
 @dataclass(frozen=True)
 class Index:
@@ -112,6 +123,40 @@ def build_index(
     return Index(cut(states), keys, longest, seqs, params)
 
 
+def build_sweep(
+    seqs: DataFrame, grid, metric: str = "euclidean", method: str = "inc", limit: int = LIMIT
+) -> tuple[Index, DataFrame]:
+    """Automata of frames for every threshold of a grid, equal ones built once.
+
+    The index is keyed by ``seq_id`` and the lowest ``threshold`` of a run of grid values
+    with the same links; ``seq_id, threshold, member`` maps every grid value to its run.
+    A pass over ascending thresholds links anew only where a distance is crossed.
+    """
+    grid = sorted({float(t) for t in grid})
+    keys, params = ("seq_id", "threshold"), ("variable", grid, metric, method)
+    sizes = sequences.lengths(seqs)
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    steps = [grid[i : i + STEPS] for i in range(0, len(grid), STEPS)]
+    if not steps:
+        raise ValueError("a sweep needs thresholds")
+    short = seqs if longest <= limit else seqs.join(sizes.where(F.col("n") <= limit), "seq_id").drop("n")
+    asked = F.explode(F.array(*[F.array(*[F.lit(t) for t in part]) for part in steps])).alias("asked")
+    packed = sequences.pack(short).select("seq_id", asked, "items")
+    packed = sequences.spread(packed, "seq_id", "asked")
+    runs = packed.select("seq_id", F.inline(frame_runs(metric, method)("items", "asked")))
+    first = F.when(F.col("s.state") == 0, F.col("members")).alias("members")  # once per automaton
+    states = runs.select("seq_id", "threshold", "members", F.explode("states").alias("s")).select(*keys, first, "s.*")
+    if longest > limit:
+        from .rounds import link_by_rounds
+
+        long = link_by_rounds(seqs.join(sizes.where(F.col("n") > limit), "seq_id").drop("n"), keys, *params)
+        own = F.when(F.col("state") == 0, F.array("threshold")).alias("members")
+        states = states.unionByName(long.select("*", own))
+    states = cut(states)
+    members = states.where("state = 0").select(*keys, F.explode("members").alias("member"))
+    return Index(states.drop("members"), keys, longest, seqs, params), members
+
+
 def _packed(seqs, keys, kind, threshold, metric, method) -> DataFrame:
     packed = sequences.pack(seqs)
     if kind == "symbolic":
@@ -145,6 +190,25 @@ def frame_links(metric, method):
     return links
 
 
+def frame_runs(metric, method):
+    """Runs of ascending thresholds with the states they share."""
+
+    @F.arrow_udf(RUNS)
+    def runs(items: pa.Array, asked: pa.Array) -> pa.Array:
+        members, linked, ends = [], [], [0]
+        for frames, thresholds in zip(items, asked):
+            for own, links in sweep_frames(_matrix(frames), thresholds.as_py(), metric, method == "complete"):
+                members.append(own)
+                linked.append(links)
+            ends.append(len(members))
+        lowest = pa.array([own[0] for own in members], pa.float64())
+        columns = [lowest, pa.array(members, pa.list_(pa.float64())), _state_arrays(linked)]
+        rows = pa.StructArray.from_arrays(columns, names=["threshold", "members", "states"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return runs
+
+
 def _matrix(frames: pa.ListScalar):
     flat = frames.values.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(frames.values), -1)

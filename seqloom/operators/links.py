@@ -12,6 +12,8 @@ import numpy as np
 
 from ..functions.distance import row_metric
 
+MEASURED = 4096  # frames whose distances to each other a task keeps
+
 
 def link_symbols(items) -> dict[str, list]:
     """Links of a symbol sequence: two items match when they are equal."""
@@ -33,17 +35,56 @@ def link_symbols(items) -> dict[str, list]:
 
 def link_frames(frames, threshold: float, metric="euclidean", exhaustive=False) -> dict[str, list]:
     """Links of a frame sequence: two frames match when closer than ``threshold``."""
+    x = _frames(frames)
+    return _link(len(x), threshold, row_metric(metric, x), exhaustive)[0]
+
+
+def sweep_frames(frames, thresholds, metric="euclidean", exhaustive=False):
+    """``(members, links)`` of runs of ascending thresholds whose links are the same.
+
+    Every automaton reports the least distance that failed; the next one is linked only for
+    a threshold beyond it.  Distances of a frame to the earlier ones are measured once per
+    sweep in sequences of at most ``MEASURED`` frames, and where they are asked for in longer ones.
+    """
+    x = _frames(frames)
+    measure = row_metric(metric, x)
+    known: list = [None] * len(x)
+
+    def remembered(i, rows):
+        if known[i] is None:
+            known[i] = measure(i, np.arange(i))
+        return known[i][rows]
+
+    distances = remembered if len(x) <= MEASURED else measure
+    members, links, reach = [], None, -np.inf
+    for t in thresholds:
+        if links is not None and t > reach:
+            yield members, links
+            members, links = [], None
+        if links is None:
+            links, reach = _link(len(x), t, distances, exhaustive)
+        members.append(t)
+    if members:
+        yield members, links
+
+
+def _frames(frames) -> np.ndarray:
     x = np.asarray(frames, dtype=float)
-    if x.ndim == 1:
-        x = x[:, None]
-    distances = row_metric(metric, x)
-    trn: list[list[int]] = [[] for _ in range(len(x) + 1)]
+    return x[:, None] if x.ndim == 1 else x
+
+
+def _link(n, threshold, distances, exhaustive):
+    """Links, and the largest threshold that gives the same ones."""
+    trn: list[list[int]] = [[] for _ in range(n + 1)]
+    reach = np.inf
 
     def hit(k, i):
+        nonlocal reach
         targets = trn[k]
         d = distances(i - 1, np.asarray(targets) - 1)
         near = np.flatnonzero(d < threshold)
         if near.size == 0:
+            reach = np.fmin(reach, np.fmin.reduce(d, initial=np.inf))
             return None
         j = near[np.argmin(d[near])]
         return float(d[j]), targets[j]
@@ -51,9 +92,9 @@ def link_frames(frames, threshold: float, metric="euclidean", exhaustive=False)
     def link(k, i):
         trn[k].append(i)
 
-    out = _grow([-1] * (len(x) + 1), hit, link, exhaustive)
+    out = _grow([-1] * (n + 1), hit, link, exhaustive)
     out["trn"] = trn
-    return out
+    return out, reach
 
 
 def _grow(label, hit, link, exhaustive):

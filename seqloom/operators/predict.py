@@ -29,7 +29,13 @@ def answer_type(symbol: T.DataType) -> T.ArrayType:
 
 
 class Model:
-    """Links of one symbol sequence with the symbol counts below every state."""
+    """Links of one symbol sequence; symbols below a state are those of a stretch of a tour.
+
+    ``tour`` walks the tree of reverse suffix links, so the states below a state stand
+    together.  ``codes`` are the symbols of their forward links in that order, and
+    ``places`` where each symbol stands in it: a count below a state is the distance of two
+    places, and memory follows the links, whatever the alphabet.
+    """
 
     def __init__(self, items):
         links = link_symbols(items)
@@ -38,14 +44,24 @@ class Model:
         label, self.lrs, sfx = links["label"], links["lrs"], links["sfx"]
         self.goto = [{label[t]: t for t in targets} for targets in links["trn"]]
         self.children: list[list[int]] = [[] for _ in sfx]
-        self.own = np.zeros((len(sfx), len(self.symbols)))
-        for s, step in enumerate(self.goto):
-            self.own[s, list(step)] = 1.0
-        self.below = self.own.copy()  # with the whole tree of reverse suffix links
-        for s in range(len(sfx) - 1, 0, -1):
-            self.below[sfx[s]] += self.below[s]
         for s in range(1, len(sfx)):
             self.children[sfx[s]].append(s)
+        size = np.ones(len(sfx), np.int64)
+        for s in range(len(sfx) - 1, 0, -1):
+            size[sfx[s]] += size[s]
+        enter = np.zeros(len(sfx), np.int64)
+        free = enter + 1  # where the next child of a state enters
+        for s in range(1, len(sfx)):
+            enter[s] = free[sfx[s]]
+            free[sfx[s]] += size[s]
+            free[s] = enter[s] + 1
+        degree = np.array([len(step) for step in self.goto])
+        tour = np.argsort(enter)
+        ends = np.r_[0, np.cumsum(degree[tour])]
+        self.first, self.last = ends[enter], ends[enter + size]
+        self.codes = np.array([c for s in tour for c in self.goto[s]], np.int64)
+        order = np.argsort(self.codes, kind="stable")
+        self.places = np.split(order, np.searchsorted(self.codes[order], np.arange(1, len(self.symbols))))
 
     def accept(self, context) -> tuple[bool, int]:
         """Whether forward links spell the context, and the last state reached."""
@@ -57,8 +73,8 @@ class Model:
             state = nxt
         return True, state
 
-    def predict(self, context) -> tuple[np.ndarray, int]:
-        """Symbol counts, one added to each, and how much of the context's end was used."""
+    def matched(self, context) -> tuple[int, list[int], int]:
+        """The state reached, the states like it, and how much of the context's end was used."""
         context = list(context)
         ok, state = self.accept(context)
         while not ok:
@@ -69,8 +85,28 @@ class Model:
             context = context[1:]
             _, state = self.accept(context)
             similar = self._similar(state, len(context))
-        counts = 1.0 + self.own[state] + self.below[similar].sum(axis=0)
-        return counts, len(context)
+        return state, similar, len(context)
+
+    def predict(self, context) -> tuple[np.ndarray, int]:
+        """Symbol counts, one added to each, and how much of the context's end was used."""
+        state, similar, used = self.matched(context)
+        counts = np.ones(len(self.symbols))
+        counts[list(self.goto[state])] += 1.0
+        for s in similar:
+            counts += np.bincount(self.codes[self.first[s] : self.last[s]], minlength=len(counts))
+        return counts, used
+
+    def share(self, context, symbol) -> tuple[float, int]:
+        """The probability of one symbol, without those of the others, and the used length."""
+        state, similar, used = self.matched(context)
+        total = len(self.symbols) + len(self.goto[state]) + sum(int(self.last[s] - self.first[s]) for s in similar)
+        code, count = self.code.get(symbol), 1
+        if code is not None:
+            at = self.places[code]
+            count += (code in self.goto[state]) + sum(
+                int(np.searchsorted(at, self.last[s]) - np.searchsorted(at, self.first[s])) for s in similar
+            )
+        return count / total, used
 
     def _similar(self, state, size):
         return [s for s in self.children[state] if self.lrs[s] >= size]
@@ -82,11 +118,10 @@ class Model:
         """
         bits, lengths, context = 0.0, 0.0, []
         for symbol in test:
-            counts, used = self.predict(context)
+            prob, used = self.share(context, symbol)
             if used < len(context):
                 context = context[-used:]  # an unused context is kept whole
-            code = self.code.get(symbol)
-            bits -= math.log2((1.0 if code is None else counts[code]) / counts.sum())
+            bits -= math.log2(prob)
             context = [*context, symbol]
             if m_order is not None:
                 context = context[-m_order:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Index, build_index
+from .automaton import LIMIT, Index, build_sweep
 from .parse import encode
 
 IR_TYPES = ("cum", "all", "fixed", "cum2", "cum3")
@@ -85,21 +85,27 @@ def threshold_grid(start: float, stop: float, step: float) -> list[float]:
     return [start + i * step for i in range(n)]
 
 
-def threshold_rates(
-    seqs: DataFrame, grid, metric="cosine", method="inc", ir_type="cum", alpha=1.0
-) -> DataFrame:
+def _run_rates(seqs, grid, metric="cosine", method="inc", ir_type="cum", alpha=1.0, limit=LIMIT):
+    """Total rates of the distinct automata of a sweep, and the grid values of each."""
+    index, members = build_sweep(seqs, grid, metric, method, limit)
+    rates = information_rate(index, ir_type, alpha)
+    return rates.groupBy(*index.keys).agg(*[F.sum(c).alias(c) for c in ("ir", "h0", "h1")]), members
+
+
+def threshold_rates(seqs: DataFrame, grid, metric="cosine", **options) -> DataFrame:
     """Total rate per sequence and threshold: ``seq_id, threshold, ir, h0, h1``.
 
-    Every (sequence, threshold) pair is its own automaton, so the whole grid is one job.
+    ``options``: ``method``, ``ir_type``, ``alpha``, ``limit``.  Thresholds
+    between which no distance is crossed share one automaton and its rate.
     """
-    index = build_index(seqs, "variable", list(grid), metric, method)
-    rates = information_rate(index, ir_type, alpha)
-    return rates.groupBy(*index.keys).agg(*[F.sum(c).alias(c) for c in ("ir", "h0", "h1")])
+    rates, members = _run_rates(seqs, grid, metric, **options)
+    rates = rates.join(members, ["seq_id", "threshold"])
+    return rates.select("seq_id", F.col("member").alias("threshold"), "ir", "h0", "h1")
 
 
 def find_threshold(seqs: DataFrame, grid=None, **options) -> DataFrame:
     """The threshold with the largest total rate per sequence; the lowest one wins ties."""
     grid = threshold_grid(0.0, 1.0, 0.1) if grid is None else grid
-    rates = threshold_rates(seqs, grid, **options)
+    rates, _ = _run_rates(seqs, grid, **options)  # the lowest of a run stands for it
     best = F.min(F.struct((-F.round("ir", TIE_DIGITS)).alias("cost"), "threshold", "ir"))
     return rates.groupBy("seq_id").agg(best.alias("b")).select("seq_id", "b.threshold", "b.ir")

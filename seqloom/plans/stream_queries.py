@@ -18,7 +18,7 @@ from .machine_sql import COSINE, WORDS, automaton_ctes
 from .matching_queries import LOG_A, MEDIANS, RANKED, chroma_frames, on_model_before
 from .vector_queries import VALUE, VALUE_THRESHOLD, fold_sql
 
-GRID = threshold_grid(0.02, 0.12, 0.01)
+GRID = threshold_grid(0.0, 1.0, 0.001)  # the operator's own
 
 
 def _track(rule, decay):
