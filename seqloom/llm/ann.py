@@ -39,6 +39,7 @@ COPIES, NEAR = 4, 1.15  # lists of a boundary vector, and how much farther they
 RATIO = 1.09  # least distance ratio within which a query visits lists
 PROBES, REACH = 200, 0.96  # queries compared with all vectors, and the share of their neighbours the ratio reaches
 VECTORS, QUERIES = 4096, 2048  # of one block of a list
+DENSE = 4  # a query whose beam would hold a DENSE-th of the centroids, and still not all within its ratio, measures all
 DEGREE, LONG = 12, 4  # near and far links of a centroid
 BEAM = 48  # centroids kept on the way
 
@@ -87,17 +88,26 @@ class Graph:
     def within(self, x: np.ndarray, ratio: float, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Lists of every row, and which lie within ``ratio`` times its smallest distance (``least`` at least).
 
-        The beam widens until it holds them; from a quarter of the centroids on, all are measured.
+        The graph is searched first, at every size.  For rows whose beam does not hold them all it
+        widens; at a share of ``1 / DENSE`` of the centroids, all are measured for such a row.
         """
-        while 4 * beam < len(self.centroids):
-            ids, dist = self.search(x, beam)
+        n, rows, width = len(self.centroids), np.arange(len(x)), min(beam, len(self.centroids))
+        ids = np.zeros((len(x), width), np.int64)
+        near = np.zeros(ids.shape, bool)
+        while len(rows):
+            found, dist = self.search(x[rows], beam)
             reach = ratio * np.maximum(dist[:, :1], least)
-            if (dist[:, -1:] > reach).all():
-                return ids, dist <= reach
+            settled = (dist[:, -1] > reach[:, 0]) | (beam >= n)
+            ids, near = _set(ids, near, rows[settled], found[settled], (dist <= reach)[settled])
+            rows = rows[~settled]
             beam *= 2
-        dist = self.distances(x)
-        ids = np.broadcast_to(np.arange(len(self.centroids)), dist.shape)
-        return ids, dist <= ratio * np.maximum(dist.min(1, keepdims=True), least)
+            if DENSE * beam >= n:
+                break
+        if len(rows):
+            dist = self.distances(x[rows])
+            found = np.broadcast_to(np.arange(n), dist.shape)
+            ids, near = _set(ids, near, rows, found, dist <= ratio * np.maximum(dist.min(1, keepdims=True), least))
+        return ids, near
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         """From every row to every centroid."""
@@ -105,6 +115,15 @@ class Graph:
         return np.sqrt(np.maximum(square - 2 * x @ self.centroids.T, 0))
 
 
+def _set(ids, near, rows, found, within):
+    """Both tables with the rows found, widened where these are wider."""
+    more = found.shape[1] - ids.shape[1]
+    if more > 0 and len(rows):
+        ids, near = (np.pad(a, ((0, 0), (0, more))) for a in (ids, near))
+    ids[rows, : found.shape[1]], near[rows, : found.shape[1]] = found, within
+    return ids, near
+
+
 def _once(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of links sorted, and which of them repeat the one before."""
     links = np.sort(links, axis=1)
@@ -113,8 +132,9 @@ def _once(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return links, same
 
 
-def lift(x: np.ndarray, longest: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))
+def lift(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one at most with a last coordinate that makes them one long."""
+    rest = np.sqrt(np.maximum(1 - (x**2).sum(1), 0))
     return np.hstack([x, rest[:, None]])
 
 
@@ -153,12 +173,29 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def aimed(x: np.ndarray, longest: float) -> np.ndarray:
-    """Queries lifted; only directions matter, so all are as long as the longest vector."""
-    return lift(x * (longest / np.sqrt((x**2).sum(1)))[:, None], longest)
+def shrunk(x: np.ndarray, longest: tuple[float, float]) -> np.ndarray:
+    """Vectors in units of the longest one."""
+    return x / longest[0] / longest[1]
+
+
+def aimed(x: np.ndarray) -> np.ndarray:
+    """Queries lifted; only directions matter, so all are as long as the longest vector, one."""
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of huge or tiny components are not doubles
+    return lift(x / np.sqrt((x**2).sum(1))[:, None])
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows; those beyond the doubles are infinite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = x @ q.T
+        odd = ~np.isfinite(out)
+        if odd.any():  # sums of the overflown parts need not be infinite, nor have a sign
+            small = np.ldexp(np.ldexp(x, -520) @ np.ldexp(q, -520).T, 1040)
+            out[odd] = small[odd]
+    return out
 
 
-def assign(graph: Graph, longest: float, reach: tuple[float, float] | None = None):
+def assign(graph: Graph, longest: tuple[float, float], reach: tuple[float, float] | None = None):
     """Rows ``list, id, vec`` for every list that a vector, or with ``reach`` a query, belongs to."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +204,9 @@ def assign(graph: Graph, longest: float, reach: tuple[float, float] | None = Non
                 continue
             x = _matrix(batch["vec"])
             if reach:
-                ids, near = graph.within(aimed(x, longest), *reach)
+                ids, near = graph.within(aimed(x), *reach)
             else:
-                ids, dist = graph.search(lift(x, longest), BEAM)
+                ids, dist = graph.search(lift(shrunk(x, longest)), BEAM)
                 ids, dist = ids[:, :COPIES], dist[:, :COPIES]
                 near = dist <= NEAR * dist[:, :1]
             row, at = np.nonzero(near & (ids >= 0))
@@ -190,7 +227,7 @@ def _probe(q_ids: np.ndarray, q: np.ndarray, ratios: np.ndarray, k: int):
             if not batch.num_rows:
                 continue
             own = batch["id"].to_numpy()
-            own_score = q @ _matrix(batch["vec"]).T
+            own_score = products(q, _matrix(batch["vec"]))
             own_score[own == q_ids[:, None]] = -np.inf
             score = np.hstack([score, own_score])
             ids = np.hstack([ids, np.broadcast_to(own, own_score.shape)])
@@ -205,15 +242,15 @@ def _probe(q_ids: np.ndarray, q: np.ndarray, ratios: np.ndarray, k: int):
     return probe
 
 
-def fitted(posts: DataFrame, asked: DataFrame, graph: Graph, longest: float, k: int) -> tuple[float, float]:
+def fitted(posts: DataFrame, asked: DataFrame, graph: Graph, k: int) -> tuple[float, float]:
     """The ratio that leads ``PROBES`` queries to ``REACH`` of their true neighbours, and the least distance it is taken of."""
     rows = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toArrow()
     if not rows.num_rows:
         return RATIO, 0.0
     q_ids, q = rows["vec_id"].to_numpy(), _matrix(rows["vec"])
-    dist = graph.distances(aimed(q, longest))
+    dist = graph.distances(aimed(q))
     nearest_list = dist.min(1, keepdims=True)
-    least = max(nearest_list.mean() / 2, 1e-3 * longest)  # a query on a centroid still looks around
+    least = max(nearest_list.mean() / 2, 1e-3)  # a query on a centroid still looks around
     ratios = dist / np.maximum(nearest_list, least)
     seen = posts.mapInArrow(_probe(q_ids, q, ratios, k), "q int, id long, score double, ratio double")
     seen = seen.groupBy("q", "id").agg(F.max("score").alias("score"), F.min("ratio").alias("ratio"))
@@ -294,7 +331,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     asked = usable(queries, key, vector).where(F.size("vec") == width)
     placed = "list int, id long, vec array<double>"
     posts = cut(vectors.mapInArrow(assign(graph, longest), placed))
-    visits = cut(asked.mapInArrow(assign(graph, longest, fitted(posts, asked, graph, longest, k)), placed))
+    visits = cut(asked.mapInArrow(assign(graph, longest, fitted(posts, asked, graph, k)), placed))
     blocks = (
         posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("v"))
         .join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q")), "list")

@@ -306,10 +306,11 @@ register(
 
 
 def _contexts(seqs):
-    """Four contexts per sequence: its end, its start, a mix, and one with a foreign symbol."""
+    """Seven contexts per sequence: two ends, two starts, a mix, one with a foreign symbol, a start backwards."""
     first, last = F.element_at("items", 1), F.element_at("items", -1)
     asked = F.array(
-        F.slice("items", -2, 2), F.slice("items", 1, 3), F.array(last, first, last), F.array(F.lit("none"), last)
+        F.slice("items", -2, 2), F.slice("items", 1, 3), F.array(last, first, last), F.array(F.lit("none"), last),
+        F.expr("slice(items, greatest(size(items) - 7, 1), 8)"), F.slice("items", 1, 12), F.reverse(F.slice("items", 1, 6)),
     )
     packed = sequences.pack(seqs).select("seq_id", F.posexplode(asked).alias("ctx_id", "context"))
     return packed.withColumn("ctx_id", F.col("ctx_id").cast("long"))
@@ -353,8 +354,9 @@ pr AS (
   FROM (SELECT DISTINCT seq_id, ctx_id, used FROM chosen) u JOIN ab ON ab.seq_id = u.seq_id
   LEFT JOIN seen s ON s.seq_id = u.seq_id AND s.ctx_id = u.ctx_id AND s.sym = ab.sym)"""
 CONTEXTS = """ctx AS (
-  SELECT seq_id, unnest(range(0, 4)) AS ctx_id,
-    unnest([x[-2:], x[:3], [x[-1], x[1], x[-1]], ['none', x[-1]]]) AS c FROM sq)"""
+  SELECT seq_id, unnest(range(0, 7)) AS ctx_id,
+    unnest([x[-2:], x[:3], [x[-1], x[1], x[-1]], ['none', x[-1]],
+      x[-8:], x[:12], list_reverse(x[:6])]) AS c FROM sq)"""
 
 
 def _accept(spark, sf_dir):
