@@ -13,7 +13,8 @@ task returns no more than ``k`` neighbours per query.  Scores are computed anew
 double precision on the original vectors.
 
 Rows with a null id, or vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do vectors of another width than the most common one (the
+components take no part (huge and tiny ones do; scores beyond the doubles are infinite and
+tie, and a vector that dwarfs all others makes the lists of those long), nor do vectors of another width than the most common one (the
 smallest on ties).  Ties go to the smaller id and a row repeated under one id counts once.
 Extra columns are ignored; an empty table gives no rows.
 """
@@ -173,9 +174,10 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def shrunk(x: np.ndarray, longest: tuple[float, float]) -> np.ndarray:
-    """Vectors in units of the longest one."""
-    return x / longest[0] / longest[1]
+def shrunk(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors in units of the longest one, whose length is ``2 ** longest``."""
+    half = 2.0 ** (longest / 2)  # the length itself may be beyond the doubles
+    return x / half / half
 
 
 def aimed(x: np.ndarray) -> np.ndarray:
@@ -195,7 +197,7 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(graph: Graph, longest: tuple[float, float], reach: tuple[float, float] | None = None):
+def assign(graph: Graph, longest: float, reach: tuple[float, float] | None = None):
     """Rows ``list, id, vec`` for every list that a vector, or with ``reach`` a query, belongs to."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +279,7 @@ def _best(k: int):
 
 
 def _top(ids, x, q_id, q, k):
-    rough = x @ q
+    rough = products(x, q)
     rough[ids == q_id] = -np.inf
     if len(ids) > k:
         bound = np.partition(rough, -k)[-k]
@@ -285,7 +287,9 @@ def _top(ids, x, q_id, q, k):
         keep = np.flatnonzero((rough >= bound - slack) & (ids != q_id))
     else:
         keep = np.flatnonzero(ids != q_id)
-    score = (x[keep] * q).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (x[keep] * q).sum(1)
+    score = np.where(np.isfinite(score), score, rough[keep])
     order = np.lexsort((ids[keep], -score))[:k]
     return ids[keep][order], score[order]
 
@@ -319,12 +323,13 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     vectors = usable(table, key, vector)
-    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
-    n, longest = vectors.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).first()
+    top = F.array_max(F.transform("vec", F.abs))
+    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v / top * (v / top))
+    n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.log2(top) + F.log2(square) / 2)).first()
     if not n:
         return spark.createDataFrame([], schema)
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    sample = lift(_matrix(rows["vec"]), longest)
+    sample = lift(shrunk(_matrix(rows["vec"]), longest))
     width = sample.shape[1] - 1
     graph = Graph.of(fit(sample, max(1, min(n // LIST, len(sample) // 8))))
 

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -98,3 +100,50 @@ def test_graph_search_is_near_exact():
     assert (ids[:, 0] == best).mean() > 0.95
     assert (np.diff(dist, axis=1) >= 0).all()
     assert all(len(set(row)) == len(row) for row in ids.tolist())
+
+
+def test_huge_and_tiny_components(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 20)
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    for odd, at in ((1e200, (3,)), (1e-200, (3, 40, 77)), (1e200, (3, 5, 9))):
+        y = x.copy()
+        y[list(at)] *= odd
+        rows = [(i, v.tolist()) for i, v in enumerate(y)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = found(ann.nearest(df, df.where("vec_id % 3 = 0"), 10))
+        assert set(got) == set(range(0, 300, 3))
+        hits = 0
+        for q, near in got.items():
+            score = {i: dot(y[i], y[q]) for i in range(300) if i != q}
+            best = sorted(score, key=lambda i: (-score[i], i))[:10]
+            hits += len({i for i, _ in near} & set(best))
+            assert all(s == pytest.approx(score[i], rel=1e-9, abs=1e-12) for i, s in near)
+        assert hits >= 0.95 * 10 * len(got)
+
+
+def dot(a, b):
+    """The inner product by exact fractions; infinite beyond the doubles."""
+    exact_sum = sum(Fraction(float(x)) * Fraction(float(y)) for x, y in zip(a, b))
+    try:
+        return float(exact_sum)
+    except OverflowError:
+        return float("inf") if exact_sum > 0 else float("-inf")
+
+
+@pytest.mark.parametrize("dense", [1, 4, 1000])
+def test_lists_within_a_ratio(monkeypatch, dense):
+    monkeypatch.setattr(ann, "DENSE", dense)
+    rng = np.random.default_rng(8)
+    graph = ann.Graph.of(rng.normal(size=(150, 6)))
+    x = rng.normal(size=(40, 6))
+    asked = []
+    search = ann.Graph.search
+    monkeypatch.setattr(ann.Graph, "search", lambda self, x, beam: asked.append(beam) or search(self, x, beam))
+    for ratio in (1.0, 1.3, 3.0):
+        ids, near = graph.within(x, ratio, 0.0, 16)
+        dist = graph.distances(x)
+        want = dist <= ratio * dist.min(1, keepdims=True) + 1e-12
+        got = [set(i[n].tolist()) for i, n in zip(ids, near)]
+        missed = sum(len(set(np.flatnonzero(w).tolist()) - g) for w, g in zip(want, got))
+        assert missed <= 0.05 * want.sum()
+    assert asked.count(16) == 3  # the graph is searched first
