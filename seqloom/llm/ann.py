@@ -324,8 +324,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     schema = "query_id long, rank int, vec_id long, score double"
     vectors = usable(table, key, vector)
     top = F.array_max(F.transform("vec", F.abs))
-    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v / top * (v / top))
-    n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.log2(top) + F.log2(square) / 2)).first()
+
+    def length(t):  # as a power of two; ``t`` is found once a row
+        return F.log2(t) + F.log2(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v / t * (v / t))) / 2
+
+    n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.transform(F.array(top), length)[0])).first()
     if not n:
         return spark.createDataFrame([], schema)
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
