@@ -1,13 +1,12 @@
-"""Substring dedup over words by compaction of a de Bruijn graph.
-
-Runs of 20 words are the edges of a de Bruijn graph over the corpus: an edge leads from its
-first 19 words to its last 19.  Consecutive edges of a document with one anchor gram form a
-path, which travels as one row with its text and its source coordinates (document and first
-word).  Joins by the anchor drop paths whose gram occurs once, merge equal paths, and open
-only those where paths of one gram differ: there the graph branches, and their edges meet
-one by one.  A path that stays whole is nonbranching, and long repeated passages stay
-chains of such rows.  Of every edge the smallest source coordinate survives; the words
-under all other occurrences are removed.
+"""Substring dedup over words: windows of 20 words that occur earlier in the corpus.
+
+The windows are found by the minimizer search of :mod:`repeats`, not by de Bruijn compaction:
+there is no edge table, branching test or compaction of paths (README).  Consecutive windows
+of a document with one anchor gram of 8 words travel as one row with their text and source
+coordinates (document and first word).  Grams that occur once are dropped, equal rows are
+settled as one, and only where rows of one gram differ are their windows compared one by one,
+by two hashes.  Of every window the smallest source coordinate survives; the words under all
+other occurrences are removed.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, compared byte by byte.  A null text has none.  A null id is
 larger than all others.  Rows that repeat an id share their coordinates: equal texts under

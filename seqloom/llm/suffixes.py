@@ -1,14 +1,11 @@
-"""Suffix dedup over bytes by distributed prefix doubling.
-
-Positions are ranked by growing prefixes.  Of all suffixes only those at anchors are ranked
-first, by their first 20 bytes: an anchor is the 20-byte string with the smallest hash among
-those inside a 50-byte one, so every 50-byte string has one and equal strings have equal
-anchors.  Spark deals the anchors by rank; positions whose rank is unique are dropped, as no
-string around them repeats.  The strings around the others are dealt by the same rank.
-Equal neighbourhoods share all further ranks and are settled as one; where neighbourhoods
-of a rank differ, each position gets the pair of its 25-byte rank and the one 25 bytes on,
-pairs are sorted, and equal pairs, now 50 bytes long and past the threshold, become one
-rank.  A rank's smallest document keeps its bytes; others lose them.
+"""Suffix dedup over bytes: 50-byte strings that a document with a smaller id also holds.
+
+The strings are found by the minimizer search of :mod:`repeats`, not by prefix doubling: there
+are no global ranks and no rerank rounds (README).  A string's anchor is the 20-byte gram
+with the smallest hash inside it, so equal strings have equal anchors; grams that occur once
+are dropped, equal neighbourhoods are settled as one, and where neighbourhoods of a gram
+differ, positions are compared by the hashes of their two 25-byte halves, sorted in the task
+of the gram's bucket.  A string's smallest document keeps its bytes; others lose them.
 
 Null text is empty.  A null id is larger than all others, and rows with one id do not
 remove each other's bytes.  Extra columns are ignored; an empty table gives no rows.
