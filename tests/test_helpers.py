@@ -251,3 +251,31 @@ def test_label_file(spark, tmp_path):
     save_segments(lines, str(tmp_path / "lab"))
     files = list((tmp_path / "lab" / "seq_id=1").glob("*.txt"))
     assert len(files) == 1 and files[0].read_text() == "a\nb\n"
+
+
+def test_ward_chains_find_the_same_tree():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        x = np.repeat(rng.normal(size=(40, 3)), 2, axis=0)  # copies merge first
+        matrix, chains = cluster.ward_heights(x), cluster.ward_heights(x, matrix=0)
+        assert np.allclose(sorted(h for *_, h in matrix), sorted(h for *_, h in chains))
+        for height in (0.0, 1.0, 3.0):
+            assert cluster.cut_at(80, matrix, height).tolist() == cluster.cut_at(80, chains, height).tolist()
+
+
+def test_ward_holds_no_matrix_of_many_points():
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(size=(5000, 2))
+    tracemalloc.start()
+    merges = cluster.ward_heights(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == 4999 and peak < 5000 * 5000 * 8 / 10
+
+
+def test_kmeans_in_parts_is_kmeans(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(150, 4))
+    whole = cluster.kmeans(x, 4)
+    monkeypatch.setattr(cluster, "CELLS", 3000)
+    assert (cluster.kmeans(x, 4) == whole).all()
