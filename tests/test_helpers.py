@@ -279,3 +279,16 @@ def test_kmeans_in_parts_is_kmeans(monkeypatch):
     whole = cluster.kmeans(x, 4)
     monkeypatch.setattr(cluster, "CELLS", 3000)
     assert (cluster.kmeans(x, 4) == whole).all()
+
+
+def test_written_tables_are_not_broadcast(spark, tmp_path):
+    spark.range(50).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    plan = spark.range(1000).join(session.beside(small).groupBy("id").count(), "id")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_segmentation_plans_have_no_broadcast(spark):
+    index = build_index(sequences_of(spark, {1: list("aabbaabb"), 2: list("abab")}))
+    plan = segmentation.segmentation(index, hier=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
