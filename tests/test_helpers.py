@@ -274,6 +274,14 @@ def test_ward_holds_no_matrix_of_many_points():
     assert len(merges) == 4999 and peak < 5000 * 5000 * 8 / 10
 
 
+def test_raw_tree_over_more_frames_than_a_matrix(spark, monkeypatch):
+    monkeypatch.setattr(segmentation, "DENSE", 8)
+    frames = sequences_of(spark, {1: [[0.0, 0.1]] * 6 + [[5.0, 5.1]] * 6 + [[0.0, 0.1]] * 6}, "frame")
+    index = build_index(frames, "variable", 0.5)
+    got = sorted(map(tuple, segmentation.segmentation(index, seqs=frames, data="raw").select("seg", "start", "end", "label").collect()))
+    assert got == [(0, 0, 6, 0), (1, 6, 12, 1), (2, 12, 17, 0)]
+
+
 def test_kmeans_in_parts_is_kmeans(monkeypatch):
     x = np.random.default_rng(5).normal(size=(150, 4))
     whole = cluster.kmeans(x, 4)
