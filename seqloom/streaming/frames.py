@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..functions.distance import as_length, measuring
 from ..operators.links import add_state
-from .live import STATE_ROWS, Cells, InOrder, in_order, ints, link_maps
+from .live import STATE_ROWS, Buckets, Cells, InOrder, bucket_map, in_order, ints, link_maps
 
 PIVOTS = 4  # frames of a key that all later ones are measured against
 CHUNK = 64  # targets of one map entry
@@ -31,7 +31,6 @@ FRAME_ROWS = T.StructType([*STATE_ROWS, T.StructField("measured", T.LongType())]
 
 _SLOT = T.StructType([T.StructField("state", T.IntegerType()), T.StructField("slot", T.LongType())])
 _PART = T.StructType([*_SLOT, T.StructField("part", T.IntegerType())])
-_VECTOR = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
 _TARGETS = T.StructType(
     [T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("apart", T.ArrayType(T.DoubleType()))]
 )
@@ -112,8 +111,8 @@ class _GrowFrames(InOrder):
         self.size = handle.getValueState("size", ints("n", "fresh"))
         self.own = handle.getValueState("own", _THRESHOLD)
         self.maps = link_maps(handle)
-        self.vectors = {n: handle.getMapState(n, ints("state"), _VECTOR) for n in ("frame", "pivot")}
-        self.filled = handle.getMapState("filled", _SLOT, ints("n"))
+        self.vectors = {n: bucket_map(handle, n, ints("state"), T.ArrayType(T.DoubleType())) for n in ("frame", "pivot")}
+        self.filled = bucket_map(handle, "filled", _SLOT)
         self.part = handle.getMapState("part", _PART, _TARGETS)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -123,14 +122,15 @@ class _GrowFrames(InOrder):
         threshold = self.own.get()[0] if self.own.exists() else self.threshold
         if threshold is None:
             raise ValueError(f"no threshold for stream {key[0]!r}")
-        cells = {name: Cells(state) for name, state in self.maps.items()}
+        n, fresh = self.size.get() if self.size.exists() else (0, 0)
+        new = n == 0
+        cells = {name: Buckets(state, int, new=new) for name, state in self.maps.items()}
         for name, state in self.vectors.items():
-            cells[name] = Cells(state, pack=lambda x: ([float(v) for v in x],))
-        cells["filled"] = Cells(self.filled)
-        cells["part"] = Cells(self.part, pack=lambda v: v, unpack=lambda v: v)
+            cells[name] = Buckets(state, lambda x: [float(v) for v in x], new=new)
+        cells["filled"] = Buckets(self.filled, int, new=new)
+        cells["part"] = Cells(self.part, pack=lambda v: v, unpack=lambda v: v, new=new)
         sfx, lrs, label, twin = (cells[c] for c in ("sfx", "lrs", "label", "twin"))
         targets = Targets(cells, self.metric, threshold)
-        n, fresh = self.size.get() if self.size.exists() else (0, 0)
         if n == 0:
             sfx[0], lrs[0], label[0] = -1, 0, -1
         out = []

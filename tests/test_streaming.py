@@ -147,3 +147,37 @@ def test_late_rows_wait_or_are_dropped(spark, tmp_path, two_partitions):
         o = link_symbols(own)
         want += [(s, i, o["sfx"][i], o["lrs"][i], o["label"][i]) for i in range(1, len(own) + 1)]
     assert sorted(map(tuple, grown.collect())) == sorted(want) and told == [1]
+
+
+class _Map:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_neighbours_share_an_entry():
+    state, want = _Map(), {}
+    first = live.Buckets(state, int, new=True)
+    for i in range(64):
+        first[(i, i % 5)] = want[(i, i % 5)] = i * i
+    first.flush()
+    assert state.calls == 2  # 64 cells, two entries, none read
+    again = live.Buckets(state, int)
+    again[(3, 3)] = want[(3, 3)] = -1
+    assert all(again.get(k) == v for k, v in want.items()) and again.get((3, 4)) is None and again[(99, 0)] is None
+    again.flush()
+    last = live.Buckets(state, int)
+    assert all(last[k] == v for k, v in want.items()) and len(state.held) == 2
