@@ -98,3 +98,12 @@ def test_suffix_intervals(spark):
                 k = sfx[s, k]
             inside = {j for j in range(len(x) + 1) if at[s, j][0] <= at[s, i][0] and at[s, i][1] <= at[s, j][1]}
             assert inside == chain
+
+
+def test_bounded_tours_are_the_ranked_ones(spark):
+    from seqloom.operators import tours
+
+    ix = build_index(sequences_of(spark, {1: list("abaabbabab"), 2: list("aaaa"), 3: ["x"]}))
+    for fn in (tours.suffix_intervals, tours.subtrees):
+        assert sorted(map(tuple, fn(ix).collect())) == sorted(map(tuple, fn(ix, limit=0).collect()))
+    assert tours.subtrees(ix)._jdf.queryExecution().executedPlan().toString().count("Join") == 0  # one grouping of the states
