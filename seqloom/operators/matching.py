@@ -7,7 +7,7 @@ over the model's frames however many start points are followed.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +105,15 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
     reach = partial(_reach, sfx, trn, _first_children(sfx))
     order = np.argsort(labels, kind="stable")  # frames grouped by cluster, ascending inside
     heads = np.searchsorted(labels[order], np.arange(labels.max() + 1))
-    apart = row_metric(metric, x) if weight is not None else None
     everyone = np.arange(len(x))
+    if weight is not None:
+        metre = row_metric(metric, x)
+        part = len(x) if callable(metric) else ROWS
+
+        @lru_cache(max(1, KEPT // len(x)))
+        def apart(p):
+            """Weighted distances of all frames from the one after state ``p``."""
+            return weight * np.concatenate([metre(p, slice(at, at + part)) for at in range(0, len(x), part)])
 
     def groups(d):
         """Smallest distance and its first state, per cluster (or per state)."""
@@ -122,9 +129,10 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
     out = []
     here, cost = [], np.zeros(len(starts))
     for t, frame in enumerate(q):
-        d = ((x - frame) ** 2).sum(axis=1)
+        d = _squares(x, frame)
         low, who = groups(d)
         step = np.zeros(len(starts))
+        blended: dict = {}  # many starts soon share a state
         for k, s in enumerate(starts):
             if t == 0:
                 state, step[k] = (who[labels[s - 1]], low[labels[s - 1]]) if nearest else (s, d[s - 1])
@@ -132,7 +140,9 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
                 continue
             p, lo, wh = here[k], low, who
             if weight is not None and p < len(x):
-                lo, wh = groups(d * (1.0 - weight) + weight * apart(p, everyone))
+                if p not in blended:
+                    blended[p] = groups(d * (1.0 - weight) + apart(p))
+                lo, wh = blended[p]
             slot = [labels[j - 1] if expand else j - 1 for j in reach(p, policy)]
             best = slot[int(np.argmin(lo[slot]))]
             here[k], step[k] = int(wh[best]), lo[best]
@@ -141,6 +151,19 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
     return [np.concatenate([o[c] for o in out]) for c in range(4)]
 
 
+ROWS = 512  # frames measured at once, few enough to stay near the processor
+KEPT = 1 << 23  # distances that a blended walk keeps for states it comes back to
+
+
+def _squares(x: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """Squared distances of all frames from one."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), ROWS):
+        off = x[at : at + ROWS] - frame
+        np.square(off, out=off).sum(axis=1, out=out[at : at + ROWS])
+    return out
+
+
 def _first_children(sfx) -> dict[int, int]:
     first: dict[int, int] = {}
     for i, s in enumerate(sfx[1:], 1):

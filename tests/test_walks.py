@@ -107,3 +107,27 @@ def test_bounded_tours_are_the_ranked_ones(spark):
     for fn in (tours.suffix_intervals, tours.subtrees):
         assert sorted(map(tuple, fn(ix).collect())) == sorted(map(tuple, fn(ix, limit=0).collect()))
     assert tours.subtrees(ix)._jdf.queryExecution().executedPlan().toString().count("Join") == 0  # one grouping of the states
+
+
+def test_blended_walks_measure_a_state_once():
+    import numpy as np
+
+    from seqloom.operators.links import link_frames
+
+    rng = random.Random(8)
+    items = [[rng.random(), rng.random()] for _ in range(60)]
+    asked = [[rng.random(), rng.random()] for _ in range(40)]
+    o = link_frames(items, 0.3)
+    calls = []
+
+    def metric(x, others):
+        calls.append(tuple(x))
+        return ((others - x) ** 2).sum(axis=1)
+
+    def walk(metric):
+        how = {"policy": "forward_self", "nearest": True, "weight": 0.5, "metric": metric}
+        return matching._walk(items, o["label"], o["sfx"], o["trn"], asked, None, **how)
+
+    own = walk(metric)
+    assert len(calls) == len(set(calls))
+    assert all(np.array_equal(a, b) for a, b in zip(own, walk("sqeuclidean")))
