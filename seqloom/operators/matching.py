@@ -43,16 +43,12 @@ def _walks(index, seqs, obs, pairs, starts=None, limit=LIMIT, factor=None, **how
     """Steps ``start, t, state, cost`` of every pair; ``cost`` accumulates.
 
     Bounded pairs are walked inside a task, longer ones by composed maps.  ``factor``
-    cuts the observations into chunks, each walked on its own.
+    cuts the observations into chunks, each walked on its own; a task takes a run of chunks
+    (a model meets ``PARTS`` of them) and keeps the steps of each one's best path.
     """
     _check(how["policy"])
     keys = ["obs_id"] if factor is None else ["obs_id", "chunk"]
     longest = max(index.longest, sequences.lengths(obs).agg(F.max("n")).first()[0] or 0)
-    named = obs
-    if factor is not None:
-        named = sequences.number(obs, longest).select(
-            "seq_id", ((F.col("pos") - 1) / factor).cast("int").alias("chunk"), F.struct("pos").alias("ord"), "item"
-        )
     if pairs is None:
         pairs = obs.select("seq_id").distinct().withColumn("obs_id", F.col("seq_id"))
     if longest > limit:
@@ -62,18 +58,30 @@ def _walks(index, seqs, obs, pairs, starts=None, limit=LIMIT, factor=None, **how
         if factor is not None:
             cols.append(((F.col("pos") - 1) / factor).cast("int").alias("chunk"))
         return walk_by_maps(index, seqs, numbered.select(*cols), pairs, keys, starts, **how)
-    packed = sequences.pack(named, *keys[1:]).select(
-        F.col("seq_id").alias("obs_id"), *keys[1:], F.col("items").alias("o_items")
-    )
+    named, parts, run = obs, [], 1
+    if factor is not None:
+        parts, run = ["part"], -(-longest // (factor * PARTS)) or 1  # chunks of a part
+        named = sequences.number(obs, longest).select(
+            "seq_id", ((F.col("pos") - 1) / (factor * run)).cast("int").alias("part"), F.struct("pos").alias("ord"), "item"
+        )
+    packed = sequences.pack(named, *parts).select(F.col("seq_id").alias("obs_id"), *parts, F.col("items").alias("o_items"))
     joined = pairs.join(packed, "obs_id").join(models(index, seqs), "seq_id")
     if starts is None:
         joined = joined.withColumn("starts", F.lit(None).cast("array<int>"))
     else:
         joined = joined.join(starts, "seq_id")
-    joined = sequences.spread(joined, "seq_id", *keys)
-    udf = F.arrow_udf(partial_walk(**how), STEPS)
+    joined = sequences.spread(joined, "seq_id", "obs_id", *parts)
+    udf = F.arrow_udf(partial_walk(**how, factor=factor), STEPS)
     cols = ("m_items", "m_label", "m_sfx", "m_trn", "o_items", "starts")
-    return joined.select(*keys, "seq_id", F.inline(udf(*cols)))
+    steps = joined.select("obs_id", *parts, "seq_id", F.inline(udf(*cols)))
+    if factor is None:
+        return steps
+    chunk = F.col("part") * run + F.floor((F.col("t") - 1) / factor).cast("int")
+    t = (F.pmod(F.col("t") - 1, F.lit(factor)) + 1).cast("int")
+    return steps.select("obs_id", chunk.alias("chunk"), "seq_id", "start", t.alias("t"), "state", "cost")
+
+
+PARTS = 8  # runs of chunks that meet a model apart: its copies, and the tasks of a pair
 
 
 def partial_walk(**how):
@@ -93,16 +101,22 @@ def partial_walk(**how):
     return walk
 
 
-def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, decay=1.0, weight=None, metric="sqeuclidean"):
+def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, decay=1.0, weight=None, metric="sqeuclidean", factor=None):
     """Follow every start point through the observations, one nearest candidate per step.
 
     ``nearest`` starts at the closest frame of the start's cluster.  ``expand`` lets a
     link stand for its whole cluster.  ``weight`` blends in the distance from the frame
-    after the previous state.
+    after the previous state.  With ``factor`` the walk starts anew after so many observations
+    and returns the steps of the cheapest path of each chunk, the first of equals.
     """
     x, q = np.array(items, dtype=float), np.array(obs, dtype=float)
     labels = np.array(label[1:])
     reach = partial(_reach, sfx, trn, _first_children(sfx))
+
+    @lru_cache(len(x) + 1)
+    def slots(p):
+        return np.array([labels[j - 1] if expand else j - 1 for j in reach(p, policy)], dtype=int)
+
     order = np.argsort(labels, kind="stable")  # frames grouped by cluster, ascending inside
     heads = np.searchsorted(labels[order], np.arange(labels.max() + 1))
     everyone = np.arange(len(x))
@@ -126,28 +140,35 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
 
     if starts is None:
         starts = [int(s) for s in np.sort(order[heads]) + 1]
-    out = []
-    here, cost = [], np.zeros(len(starts))
+    out, walked = [], []
     for t, frame in enumerate(q):
+        first = t % (factor or len(q)) == 0
+        if first:
+            here, cost = [], np.zeros(len(starts))
         d = _squares(x, frame)
         low, who = groups(d)
         step = np.zeros(len(starts))
-        blended: dict = {}  # many starts soon share a state
+        moved: dict = {}  # many starts soon share a state
         for k, s in enumerate(starts):
-            if t == 0:
+            if first:
                 state, step[k] = (who[labels[s - 1]], low[labels[s - 1]]) if nearest else (s, d[s - 1])
                 here.append(int(state))
                 continue
-            p, lo, wh = here[k], low, who
-            if weight is not None and p < len(x):
-                if p not in blended:
-                    blended[p] = groups(d * (1.0 - weight) + apart(p))
-                lo, wh = blended[p]
-            slot = [labels[j - 1] if expand else j - 1 for j in reach(p, policy)]
-            best = slot[int(np.argmin(lo[slot]))]
-            here[k], step[k] = int(wh[best]), lo[best]
-        cost = (cost if t == 0 else decay * cost) + step
-        out.append((np.arange(len(starts)), np.full(len(starts), t + 1), np.array(here), cost))
+            p = here[k]
+            if p not in moved:
+                lo, wh = low, who
+                if weight is not None and p < len(x):
+                    lo, wh = groups(d * (1.0 - weight) + apart(p))
+                best = slots(p)[int(np.argmin(lo[slots(p)]))]
+                moved[p] = int(wh[best]), lo[best]
+            here[k], step[k] = moved[p]
+        cost = (cost if first else decay * cost) + step
+        walked.append((np.arange(len(starts)), np.full(len(starts), t + 1), np.array(here), cost))
+        if factor is not None and (t + 1 == len(q) or (t + 1) % factor == 0):
+            k = np.lexsort((cost, np.isnan(cost)))[:1]
+            out += [[c[k] for c in one] for one in walked]
+            walked = []
+    out += walked
     return [np.concatenate([o[c] for o in out]) for c in range(4)]
 
 

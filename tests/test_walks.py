@@ -131,3 +131,29 @@ def test_blended_walks_measure_a_state_once():
     own = walk(metric)
     assert len(calls) == len(set(calls))
     assert all(np.array_equal(a, b) for a, b in zip(own, walk("sqeuclidean")))
+
+
+def test_chunks_of_one_call_walk_on_their_own(spark):
+    import numpy as np
+
+    from seqloom.operators.links import link_frames
+
+    rng = random.Random(9)
+    items = [[rng.random(), rng.random()] for _ in range(50)]
+    asked = [[rng.random(), rng.random()] for _ in range(20)]
+    o = link_frames(items, 0.2)
+    for weight in (None, 0.5):
+        how = {"policy": "forward_self", "nearest": True, "weight": weight}
+        got = matching._walk(items, o["label"], o["sfx"], o["trn"], asked, None, **how, factor=3)
+        want = []
+        for at in range(0, 20, 3):
+            start, t, state, cost = matching._walk(items, o["label"], o["sfx"], o["trn"], asked[at : at + 3], None, **how)
+            best = min((c, s) for c, s, u in zip(cost, start, t) if u == t.max())[1]
+            want += [(s, u + at, p, c) for s, u, p, c in zip(start, t, state, cost) if s == best]
+        assert list(zip(*got)) == want and np.all(got[1] == np.arange(1, 21))
+
+    seqs = sequences_of(spark, {1: items, 2: items[:7], 3: items[:1]}, "frame")
+    index = build_index(seqs, "variable", 0.2, "euclidean")
+    steps = matching._walks(index, seqs, seqs, None, factor=3, policy="forward_self", nearest=True, weight=None)
+    kept = sorted((r.obs_id, r.chunk, r.t) for r in steps.collect())  # one path a chunk leaves the task
+    assert kept == sorted((s, i // 3, i % 3 + 1) for s, n in ((1, 50), (2, 7), (3, 1)) for i in range(n))
