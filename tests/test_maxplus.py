@@ -75,3 +75,18 @@ def test_tracking_in_blocks(spark, monkeypatch, small_blocks, rule, decay):
     monkeypatch.setattr(maxplus, "in_blocks", lambda o, m: real(o, m, 10))
     once = sorted(map(tuple, tracker.track(models, obs, decay, rule).collect()))
     assert sorted(map(tuple, tracker.track(models, obs, decay, rule, limit=20).collect())) == once and len(once) == 91
+
+
+def test_scores_leave_a_task_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    med, items = rng.random(5 * 3).tolist(), rng.random((41, 3)).tolist()
+    model = {"seq_id": 7, "items": items, "n_labels": 5, "med": med, "cells": cells_of(rng, 5)}
+    batch = pa.RecordBatch.from_pylist([model, model | {"seq_id": 8, "items": items[:1]}])
+    whole = pa.Table.from_batches(hmm._viterbi([batch])).to_pylist()
+    monkeypatch.setattr(hmm, "CELLS", 20)
+    parts = list(hmm._viterbi([batch]))
+    assert max(len(p) for p in parts) == 20 and len(parts) == 12
+    assert pa.Table.from_batches(parts).to_pylist() == whole and len(whole) == 42 * 5
+    assert [r["t"] for r in whole if r["back"] is None] == [41] * 5 + [1] * 5
