@@ -300,3 +300,25 @@ def test_segmentation_plans_have_no_broadcast(spark):
     index = build_index(sequences_of(spark, {1: list("aabbaabb"), 2: list("abab")}))
     plan = segmentation.segmentation(index, hier=True)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("hier", [False, True])
+def test_temporal_spectrum_is_found_once_a_length(spark, monkeypatch, hier):
+    rng = random.Random(3)
+    table = {i: [rng.choice("abc") for _ in range(n)] for i, n in enumerate([30, 30, 12, 30, 1, 12])}
+    index = build_index(sequences_of(spark, table))
+    real, asked = segmentation._spectra, []
+
+    def spectra(ix, *how):
+        asked.append(ix.states.select("seq_id").distinct().count())
+        return real(ix, *how)
+
+    want = sorted(map(tuple, segmentation._spectral(index, "temporal", hier, 2, 6, 9).collect()))
+    monkeypatch.setattr(segmentation, "_spectra", spectra)
+    got = segmentation.spectral(index, hier=hier, k_min=2)
+    if not hier:
+        assert sorted(map(tuple, got.select("seq_id", "cut", "seg", "start", "end", "label").collect())) == sorted(
+            map(tuple, segmentation._spectral(index, "temporal", hier, 2, 6, 9).select("seq_id", "cut", "seg", "start", "end", "label").collect())
+        )
+        assert len(want) > 6
+    assert {r.seq_id for r in got.collect()} == set(table) and asked[0] == 3
