@@ -64,7 +64,8 @@ class Follower:
             raise ValueError(f"unknown rule {rule!r}")
         self.med = np.array(med, dtype=float).reshape(n_labels, -1)
         self.log_a = log_transitions(n_labels, cells)
-        self.label = np.array(label)
+        label = np.array(label)
+        self.members = np.split(np.argsort(label, kind="stable") + 1, np.cumsum(np.bincount(label, minlength=n_labels))[:-1])
         self.decay, self.rule = decay, rule
         self.v = None if v is None else np.array(v, dtype=float)
         self.frame = frame  # state number; 0 before the first observation
@@ -78,19 +79,24 @@ class Follower:
         if self.v is None:
             self.v = emit - np.log(len(self.med))
             cluster = 0 if self.rule == "predicted" else int(self.v.argmax())
-            self.frame = int(np.flatnonzero(self.label == cluster)[0]) + 1
+            self.frame = int(self.members[cluster][0])
             return self.frame - 1
         step = (self.decay * self.v[:, None] + self.log_a).max(axis=0)
         self.v = step + emit
         cluster = int((step if self.rule == "predicted" else self.v).argmax())
-        members = np.flatnonzero(self.label == cluster) + 1
-        if self.frame + 1 in members:
-            self.frame += 1
-        else:
-            self.frame = int(members[np.abs(members - self.frame).argmin()])
+        self.frame = _moved(self.members[cluster], self.frame)
         return self.frame - 1
 
 
+def _moved(members: np.ndarray, frame: int) -> int:
+    """The next frame where the cluster has it, else its nearest one; the earlier of two."""
+    at = int(np.searchsorted(members, frame + 1))
+    if at < len(members) and members[at] == frame + 1:
+        return frame + 1
+    near = members[max(at - 1, 0) : at + 1]
+    return int(near[np.abs(near - frame).argmin()])
+
+
 def track(models: DataFrame, obs: DataFrame, decay: float = 1.0, rule: str = "predicted", limit: int = LIMIT) -> DataFrame:
     """Frames ``seq_id, t, frame`` of every observation sequence on the model of its id.
 
@@ -169,15 +175,7 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 frame, t = 0, 0
             out = []
             for c in r["chosen"]:
-                own = members[c]
-                at = int(np.searchsorted(own, frame + 1))
-                if frame == 0:
-                    frame = int(own[0])
-                elif at < len(own) and own[at] == frame + 1:
-                    frame += 1
-                else:
-                    near = own[max(at - 1, 0) : at + 1]
-                    frame = int(near[np.abs(near - frame).argmin()])
+                frame = int(members[c][0]) if frame == 0 else _moved(members[c], frame)
                 out.append(frame - 1)
             times = np.arange(t + 1, t + len(out) + 1, dtype=np.int32)
             t += len(out)

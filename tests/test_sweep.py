@@ -61,3 +61,23 @@ def test_sweep_equals_one_automaton_per_threshold(spark, method, limit):
 def test_a_sweep_needs_thresholds(spark):
     with pytest.raises(ValueError):
         build_sweep(frames(spark), [])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "correlation"])
+def test_few_targets_of_a_crowd_are_measured(monkeypatch, metric):
+    x = np.random.default_rng(6).random((1500, 12))
+    x[700:760] = x[:60]
+    x[20] = 0.0  # no angle
+    real, measured = links.row_metric, []
+
+    def counted(name, frames):
+        measure = real(name, frames)
+        return lambda i, rows: measured.append(len(rows)) or measure(i, rows)
+
+    monkeypatch.setattr(links, "row_metric", counted)
+    monkeypatch.setattr(links, "MEASURED", 0)
+    few = list(links.sweep_frames(x, [0.0, 0.001, 0.004], metric))
+    asked = sum(measured)
+    monkeypatch.setattr(links, "CROWD", 10**9)
+    assert few == list(links.sweep_frames(x, [0.0, 0.001, 0.004], metric))
+    assert asked < 0.3 * (sum(measured) - asked)
