@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -316,3 +317,27 @@ def test_temporal_spectrum_is_found_once_a_length(spark, monkeypatch):
     monkeypatch.setattr(segmentation, "_spectra", spectra)
     got = segmentation.spectral(index, hier=True).select(columns)
     assert sorted(map(tuple, got.collect())) == want and {r[0] for r in want} == set(table) and asked == [2]
+
+
+def test_kmeans_of_many_points_holds_few_runs_at_once():
+    x = np.random.default_rng(6).normal(size=(4096, 9))
+    tracemalloc.start()
+    labels = cluster.kmeans(x, 9, steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(labels.tolist())) == 9 and most < 40e6
+
+
+def test_kmeans_is_the_plain_one():
+    def plain(x, centres):
+        for _ in range(300):
+            label = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)])
+            if (new == centres).all():
+                return label
+            centres = new
+
+    x = np.random.default_rng(7).normal(size=(60, 3))
+    got = cluster.kmeans(x, 4, restarts=1)
+    again = plain(x, np.array([x[got == j].mean(axis=0) for j in range(4)]))
+    assert (again == got).all()
