@@ -341,3 +341,33 @@ def test_kmeans_is_the_plain_one():
     got = cluster.kmeans(x, 4, restarts=1)
     again = plain(x, np.array([x[got == j].mean(axis=0) for j in range(4)]))
     assert (again == got).all()
+
+
+def test_ward_heights_with_ties_weights_and_links():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (30, 2)).astype(float)
+    merges = cluster.ward_heights(x, rng.integers(1, 4, 30), rng.random((30, 30)) < 0.2)
+    assert len(merges) == 29 and len({b for _, b, _ in merges}) == 29 and all(a < b for a, b, _ in merges)
+    distinct = len(np.unique(x, axis=0))
+    assert sum(h == 0 for *_, h in cluster.ward_heights(x)) == 30 - distinct
+
+
+@pytest.mark.parametrize("method", ["symbol_spectral", "symbol_spectral_agglomerative"])
+def test_spectral_rows_are_pooled_without_a_join(spark, monkeypatch, method):
+    index = build_index(sequences_of(spark, {1: list("aaaabbbbaaaaccccbbbb"), 2: list("abcabcabcddddabcabc"), 3: list("ab")}))
+    joined = []
+    real = segmentation.pooled
+    monkeypatch.setattr(segmentation, "pooled", lambda *args: joined.append(1) or real(*args))
+    rows = segmentation.segmentation(index, method, connectivity="rsfx").collect()
+    assert {r.seq_id for r in rows} == {1, 2, 3} and not joined
+
+
+def test_pooled_rows_are_pooled(spark):
+    parts = spark.createDataFrame(
+        [(1, 1, 0, [1.0, 2.0]), (1, 2, 0, [3.0, 5.0]), (1, 3, 1, [7.0, 0.0]), (2, 1, 0, [4.0])],
+        "seq_id long, state int, seg int, y array<double>",
+    )
+    cells = parts.select("seq_id", "state", F.posexplode("y").alias("dim", "x"))
+    want = segmentation.pooled(parts.drop("y"), cells, ["seq_id"], ["seq_id"]).collect()
+    got = segmentation.pooled_rows(parts, ["seq_id"], "y", 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
