@@ -117,9 +117,11 @@ class Graph:
 
 
 def _set(ids, near, rows, found, within):
-    """Both tables with the rows found, widened where these are wider."""
+    """Both tables with the rows found, widened where these are wider; they stay as they are if none was."""
+    if not len(rows):
+        return ids, near
     more = found.shape[1] - ids.shape[1]
-    if more > 0 and len(rows):
+    if more > 0:
         ids, near = (np.pad(a, ((0, 0), (0, more))) for a in (ids, near))
     ids[rows, : found.shape[1]], near[rows, : found.shape[1]] = found, within
     return ids, near

@@ -147,3 +147,17 @@ def test_lists_within_a_ratio(monkeypatch, dense):
         missed = sum(len(set(np.flatnonzero(w).tolist()) - g) for w, g in zip(want, got))
         assert missed <= 0.05 * want.sum()
     assert asked.count(16) == 3  # the graph is searched first
+
+
+def test_a_wider_search_that_settles_no_query(monkeypatch):
+    rng = np.random.default_rng(9)
+    graph = ann.Graph.of(rng.normal(size=(300, 16)))  # beams of 16, 32 and 64 before all are measured
+    x = rng.normal(size=(30, 16))
+    settled = []
+    put = ann._set
+    monkeypatch.setattr(ann, "_set", lambda ids, near, rows, *more: settled.append(len(rows)) or put(ids, near, rows, *more))
+    ids, near = graph.within(x, 3.0, 0.0, 16)
+    assert settled == [0, 0, 0, 30]
+    dist = graph.distances(x)
+    want = dist <= 3.0 * dist.min(1, keepdims=True)
+    assert [set(i[n].tolist()) for i, n in zip(ids, near)] == [set(np.flatnonzero(w).tolist()) for w in want]
