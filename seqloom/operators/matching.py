@@ -121,13 +121,48 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
     heads = np.searchsorted(labels[order], np.arange(labels.max() + 1))
     everyone = np.arange(len(x))
     if weight is not None:
-        metre = row_metric(metric, x)
-        part = len(x) if callable(metric) else ROWS
-
-        @lru_cache(max(1, KEPT // len(x)))
-        def apart(p):
-            """Weighted distances of all frames from the one after state ``p``."""
-            return weight * np.concatenate([metre(p, slice(at, at + part)) for at in range(0, len(x), part)])
+        lie = order if expand else everyone  # frames in the order of their groups
+        place = np.empty_like(lie)
+        place[lie] = everyone
+        metre, ends = row_metric(metric, x[lie]), np.append(heads[1:], len(x))
+        odd = not (np.isfinite(x).all() and np.isfinite(q).all())  # what is no number has no least: all frames are looked at
+        kept, room = {}, KEPT
+
+        def measured(p, at):
+            """Weighted distances of the frames of some spans from the one after state ``p``."""
+            if callable(metric):  # asked once a state
+                rows = [np.concatenate([everyone[a:b] for a, b in at])]
+            else:
+                rows = [slice(c, min(c + ROWS, b)) for a, b in at for c in range(a, b, ROWS)]
+            return weight * np.concatenate([metre(place[p], r) for r in rows])
+
+        def apart(p, at):
+            """The same, kept while there is room."""
+            nonlocal room
+            if p in kept:
+                return kept[p]
+            far = measured(p, at)
+            if len(far) <= room:
+                room -= len(far)
+                kept[p] = far
+            return far
+
+        @lru_cache(len(x) + 1)
+        def spans(p):
+            """Where the groups that state ``p`` reaches lie, where each starts among them, and which one a slot is."""
+            found, which = np.unique(slots(p), return_inverse=True)
+            at = [(int(heads[g]), int(ends[g])) if expand else (int(g), int(g) + 1) for g in found]
+            return at, np.cumsum([0] + [b - a for a, b in at[:-1]]), which
+
+        def blended(p, own):
+            """The state to move to from ``p``, and its cost; ``own`` are the weighted distances from the observation."""
+            at, first, which = spans(p)
+            d = np.concatenate([own[a:b] for a, b in at]) + apart(p, at)
+            low = np.minimum.reduceat(d, first)
+            best = which[int(np.argmin(low[which]))]
+            a, b = at[best]
+            nearest_one = int(np.argmin(d[first[best] : first[best] + b - a]))
+            return int(lie[a + nearest_one]) + 1, low[best]
 
     def groups(d):
         """Smallest distance and its first state, per cluster (or per state)."""
@@ -147,6 +182,9 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
             here, cost = [], np.zeros(len(starts))
         d = _squares(x, frame)
         low, who = groups(d)
+        if weight is not None:
+            own = d * (1.0 - weight)
+            ordered = own[lie]
         step = np.zeros(len(starts))
         moved: dict = {}  # many starts soon share a state
         for k, s in enumerate(starts):
@@ -155,10 +193,12 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
                 here.append(int(state))
                 continue
             p = here[k]
-            if p not in moved:
+            if p not in moved and weight is not None and p < len(x) and not odd:
+                moved[p] = blended(p, ordered)
+            elif p not in moved:
                 lo, wh = low, who
                 if weight is not None and p < len(x):
-                    lo, wh = groups(d * (1.0 - weight) + apart(p))
+                    lo, wh = groups(own + measured(p, [(0, len(x))])[place])
                 best = slots(p)[int(np.argmin(lo[slots(p)]))]
                 moved[p] = int(wh[best]), lo[best]
             here[k], step[k] = moved[p]
@@ -173,7 +213,7 @@ def _walk(items, label, sfx, trn, obs, starts, policy, nearest, expand=True, dec
 
 
 ROWS = 512  # frames measured at once, few enough to stay near the processor
-KEPT = 1 << 23  # distances that a blended walk keeps for states it comes back to
+KEPT = 1 << 24  # distances that a blended walk keeps for states it comes back to
 
 
 def _squares(x: np.ndarray, frame: np.ndarray) -> np.ndarray:

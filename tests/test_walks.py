@@ -133,6 +133,49 @@ def test_blended_walks_measure_a_state_once():
     assert all(np.array_equal(a, b) for a, b in zip(own, walk("sqeuclidean")))
 
 
+@pytest.mark.parametrize("expand", [True, False])
+def test_blended_walks_measure_only_frames_within_reach(monkeypatch, expand):
+    import numpy as np
+
+    from seqloom.operators.links import link_frames
+
+    rng = np.random.default_rng(10)
+    items = (rng.integers(0, 12, (120, 1)) * 10 + rng.random((120, 2))).tolist()  # twelve clusters far apart
+    asked = (rng.integers(0, 12, (50, 1)) * 10 + rng.random((50, 2))).tolist()
+    o = link_frames(items, 3.0)
+    label, x, q = np.array(o["label"][1:]), np.array(items), np.array(asked)
+    child, measured = matching._first_children(o["sfx"]), []
+
+    def counted(metric, frames):
+        def metre(i, rows):
+            measured.append(len(frames[rows]))
+            return ((frames[rows] - frames[i]) ** 2).sum(axis=1)
+
+        return metre
+
+    monkeypatch.setattr(matching, "row_metric", counted)
+    how = {"policy": "forward_self", "nearest": True, "weight": 0.5, "expand": expand}
+    got = matching._walk(items, o["label"], o["sfx"], o["trn"], asked, None, **how)
+
+    def reached(p):
+        near = matching._reach(o["sfx"], o["trn"], child, p, "forward_self")
+        return [[j - 1] if not expand else np.flatnonzero(label == label[j - 1]).tolist() for j in near]
+
+    states = {}
+    for start, t, state, cost in zip(*got):
+        d = ((x - q[t - 1]) ** 2).sum(axis=1)
+        if t > 1:
+            p, before = states[start]
+            if p < len(x):
+                d = d * 0.5 + 0.5 * ((x - x[p]) ** 2).sum(axis=1)
+            i = min((i for group in reached(p) for i in group), key=d.__getitem__)
+            assert (state, cost) == (i + 1, before + d[i])
+        states[start] = state, cost
+    visited = {int(p) for p in got[2] if p < len(x)}
+    assert sum(measured) <= sum(len({i for group in reached(p) for i in group}) for p in visited)
+    assert sum(measured) < 0.6 * len(visited) * len(x)  # it was every frame of the model
+
+
 def test_chunks_of_one_call_walk_on_their_own(spark):
     import numpy as np
 
