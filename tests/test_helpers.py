@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,43 @@ def test_raw_tree_over_more_frames_than_a_matrix(spark, monkeypatch):
     assert got == [(0, 0, 6, 0), (1, 6, 12, 1), (2, 12, 17, 0)]
 
 
+def test_raw_tree_takes_no_frame_apart(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    points = {s: (np.repeat(rng.normal(size=(4, 3)) * 5, 5, axis=0) + rng.normal(size=(20, 3))).tolist() for s in (1, 2)}
+    frames = sequences_of(spark, points, "frame")
+    index = build_index(frames, "variable", 2.0, "euclidean")
+    monkeypatch.setattr(segmentation, "raw_features", lambda *args: pytest.fail("a row for every number of a frame"))
+    rows = segmentation.segmentation(index, seqs=frames, data="raw").collect()
+    got = {s: sorted((r.seg, r.start, r.end, r.label) for r in rows if r.seq_id == s) for s in points}
+    for s, x in points.items():
+        merges = cluster.ward_heights(x)
+        flat = cluster.cut_at(20, merges, 0.7 * max(h for *_, h in merges))
+        change = [i for i in range(1, 19) if flat[i] != flat[i - 1]]  # the last frame opens no segment
+        bounds = [0, *change, 20]
+        means = [np.mean(x[a:b], axis=0) for a, b in zip(bounds, bounds[1:])]
+        label = cluster.kmeans(means, flat.max() + 1).tolist()
+        ends = [*change, 19]
+        assert got[s] == [(i, a, b, n) for i, (a, b, n) in enumerate(zip(bounds, ends, label))]
+
+
+def test_matrices_out_of_rows():
+    frames = [[1.0, 2.0], None, [3.0], [], [4.0, None, 5.0], [], None]
+    kind = pa.list_(pa.list_(pa.float64()))
+    got = segmentation._frames(pa.array([[[9.0]], frames], kind)[1])
+    assert np.array_equal(got, [[1, 2, 0], [0, 0, 0], [3, 0, 0], [0, 0, 0], [4, np.nan, 5]], equal_nan=True)
+    assert segmentation._frames(pa.array([[None, []]], kind)[0]).shape == (0, 0)
+    rows = [{"seg": 2, "means": [None, 7.0, None]}, {"seg": 0, "means": [1.0, None, None]}, {"seg": 4, "means": [None] * 3}]
+    kind = pa.list_(pa.struct([("seg", pa.int32()), ("means", pa.list_(pa.float64()))]))
+    assert segmentation._dense(pa.array([[], rows], kind)[1]).tolist() == [[1, 0], [0, 0], [0, 7]]
+
+
+def test_starts_of_kmeans_in_parts(monkeypatch):
+    x = np.random.default_rng(15).normal(size=(150, 4))
+    whole = cluster.kmeans(x, 5)
+    monkeypatch.setattr(cluster, "SEEDS", 1000)
+    assert (cluster.kmeans(x, 5) == whole).all()
+
+
 def test_kmeans_in_parts_is_kmeans(monkeypatch):
     x = np.random.default_rng(5).normal(size=(150, 4))
     whole = cluster.kmeans(x, 4)
